@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowmill.llm import leakage, splitting, tokens
+from knowmill.llm import leakage, mojibake, splitting, tokens
 from knowmill.sources.tables import table
 
 
@@ -34,7 +34,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_overlaps(spark, folder).where(F.col("run") >= leakage.RUN).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_pieces, p4_found, p6_ids, p7_overlaps, p7_found)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with garbled text and the hash of the text as it was."""
+    return mojibake.garbled_documents(table(spark, folder, "documents"))
+
+
+def p8_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """The transformations learned from near-twins, with their support."""
+    return mojibake.learn_chains(mojibake.twin_pairs(table(spark, folder, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p4_pieces, p4_found, p6_ids, p7_overlaps, p7_found, p8_found, p8_chains)}
 
 SQL = {
     "p4_found": r"""
