@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowmill.llm import leakage, mojibake, splitting, tokens
+from knowmill.llm import leakage, mojibake, neighbours, splitting, tokens
 from knowmill.sources.tables import table
 
 
+#: Pairs of this cosine and more are reported.
+SIMILAR = 0.92
+
+
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.collection(table(spark, folder, "code_chunks"), table(spark, folder, "doc_chunks"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks of which one is among the other's ten most similar, of cosine SIMILAR and more."""
+    return neighbours.similar_pairs(neighbours.nearest_vectors(_vectors(spark, folder), min_cos=SIMILAR))
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar other vectors of every vector."""
+    return neighbours.nearest_vectors(_vectors(spark, folder))
+
+
+def p3_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar vectors of every id whose hash is divisible by 50, searched in every shard."""
+    return neighbours.nearest_vectors(_vectors(spark, folder), probes=None, query_share=50, shard=8_000, beam=64)
+
+
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of all oversized documents and chunk bodies."""
     return splitting.split_oversized(splitting.items(table(spark, folder, "kb_documents"), table(spark, folder, "doc_chunks")))
@@ -44,7 +67,7 @@ def p8_chains(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.learn_chains(mojibake.twin_pairs(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p4_pieces, p4_found, p6_ids, p7_overlaps, p7_found, p8_found, p8_chains)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p3_search, p4_pieces, p4_found, p6_ids, p7_overlaps, p7_found, p8_found, p8_chains)}
 
 SQL = {
     "p4_found": r"""
