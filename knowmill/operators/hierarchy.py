@@ -67,6 +67,21 @@ def _upward(nodes: DataFrame) -> DataFrame:
         )
 
 
+def subtree_sums(nodes: DataFrame, measures: list[str]) -> DataFrame:
+    """(src, k, parent, *measures): each numeric measure summed over a node and all below it, by doubling.
+
+    Nodes in or below a ring are left out. ``nodes`` are ``linked`` rows with the measures.
+    """
+    up = _upward(nodes.select("src", "k", "id", "parent")).where("jump IS NULL").select("src", "k")
+    state = cut(nodes.join(up, ["src", "k"]).select("src", "k", "parent", *measures, F.col("parent").alias("jump")), "tree-sums")
+    while state.where("jump IS NOT NULL").limit(1).count():
+        sums = state.where("jump IS NOT NULL").groupBy("src", F.col("jump").alias("k")).agg(*[F.sum(m).alias(f"_{m}") for m in measures])
+        above = state.select("src", F.col("k").alias("jump"), F.col("jump").alias("j2"))
+        added = [(F.col(m) + F.coalesce(f"_{m}", F.lit(0))).alias(m) for m in measures]
+        state = cut(state.join(above, ["src", "jump"], "left").join(sums, ["src", "k"], "left").select("src", "k", "parent", *added, F.col("j2").alias("jump")), "tree-sums")
+    return state.drop("jump")
+
+
 def _offsets(tree: DataFrame) -> DataFrame:
     """Adds ``off``: how far right of its parent's left end a node's range begins (0 of a root)."""
     kids = tree.where("parent IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(BUCKETS)))
