@@ -11,6 +11,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knowmill.sources.schemas import TABLES, violations
 
@@ -41,8 +42,8 @@ class Store:
         return rows.withColumns({"_seq": F.lit(seq).cast("bigint"), "_op": F.lit(op)})
 
     def log(self, name: str) -> DataFrame:
-        schema = TABLES[name][0]
-        return self.spark.read.schema(schema.simpleString()[7:-1].replace(":", " ") + ", _seq bigint, _op string").parquet(self.path(name))
+        schema = T.StructType([*TABLES[name][0], T.StructField("_seq", T.LongType()), T.StructField("_op", T.StringType())])
+        return self.spark.read.schema(schema).parquet(self.path(name))
 
     def current(self, name: str) -> DataFrame:
         """The rows as they are now."""
