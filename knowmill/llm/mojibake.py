@@ -138,8 +138,9 @@ def learn_chains(pairs: DataFrame) -> DataFrame:
 
     found = cut(pairs.select("garbled", "clean", "n", F.explode(F.pandas_udf(explain, "array<string>")("garbled", "clean")).alias("chain")), "garble-chains")
     support = found.groupBy("chain").agg(F.count("*").alias("all"))
-    best = W.partitionBy("garbled", "clean").orderBy(F.size(F.split("chain", ">")), F.desc("all"), "chain")
-    own = found.join(support, "chain").withColumn("k", F.row_number().over(best)).where("k = 1")
+    # codecs that explain the same pairs are all kept; the text decides
+    best = W.partitionBy("garbled", "clean").orderBy(F.size(F.split("chain", ">")), F.desc("all"))
+    own = found.join(support, "chain").withColumn("k", F.rank().over(best)).where("k = 1")
     return own.groupBy("chain").agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).where(F.col("pairs") >= SUPPORT)
 
 
