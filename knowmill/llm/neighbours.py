@@ -36,8 +36,9 @@ SHARD, CHUNK = 2_000, 60_000
 #: A piece holds at most so many times the members of a shard.
 PIECE = 3
 CELLS_A_SHARD, PROBES = 16, 8
+TASKS = 10_000
 CELLS, SAMPLE = 16_384, 131_072
-DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 48, 32, 1.2
+DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 40, 28, 1.2
 
 
 def unit_vectors(rows: DataFrame, dim: int = DIM) -> DataFrame:
@@ -182,7 +183,10 @@ def nearest_vectors(
         row, col = np.nonzero((near >= 0) & (cos >= min_cos))
         return pa.table({"id": pa.array(ids[question][row], pa.string()), "other": pa.array(ids[index][near[row, col]], pa.string()), "cos": pa.array(cos[row, col].astype(np.float64))})
 
-    met = ask.unionByName(be).groupBy("shard", "piece", "chunk").applyInArrow(answer, "id string, other string, cos double")
+    groups = sum(pieces[s] * chunks[s] for s in members)
+    # a task a group, within reason: groups of one task can't be split later
+    both = ask.unionByName(be).repartition(max(1, min(groups, TASKS)), "shard", "piece", "chunk")
+    met = both.groupBy("shard", "piece", "chunk").applyInArrow(answer, "id string, other string, cos double")
     ranked = W.partitionBy("id").orderBy(F.desc("cos"), "other")
     found = met.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
     return _with_copies(unit, classes, found, k, query_share).where(F.col("cos") >= min_cos).select("id", "other", "cos", "place")
