@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 NONE = np.float32(-9)  # below any cosine: no such candidate
+BLOCK = 256  # queries in step: few enough for their state to stay in the cache
 
 
 def prune(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -36,8 +37,9 @@ def prune(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int, alpha:
     return ids, kept
 
 
-def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int, width: int = 3, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Of each query the ``beam`` best nodes met and their cosines, in no order; ``skip`` is a node that is never met."""
+def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int, width: int = 5, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query the ``beam`` best nodes met and their cosines, in no order. ``own``: a node, or -1, from which
+    the query begins beside the entries."""
     n, b = len(x), len(queries)
     ids, sims = np.full((b, beam), -1, np.int32), np.full((b, beam), NONE, np.float32)
     done = np.ones((b, beam), bool)
@@ -45,14 +47,16 @@ def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.nd
     met[:, n] = True
     every = np.arange(b)[:, None]
     first = queries @ x[entries].T
-    k = min(beam, len(entries))
+    k = min(beam - (own is not None), len(entries))
     at = np.argpartition(-first, k - 1, axis=1)[:, :k]
     ids[:, :k], sims[:, :k], done[:, :k] = entries[at], first[every, at], False
     met[:, entries] = True
-    if skip is not None:
-        known = skip >= 0
-        met[np.flatnonzero(known), skip[known]] = True
-        sims[(ids == skip[:, None]) & known[:, None]] = NONE
+    if own is not None:
+        rows = np.flatnonzero(own >= 0)
+        mine = own[rows]
+        rows, mine = rows[~met[rows, mine]], mine[~met[rows, mine]]
+        met[rows, mine] = True
+        ids[rows, -1], sims[rows, -1], done[rows, -1] = mine, np.einsum("bd,bd->b", queries[rows], x[mine]), False
     active = np.arange(b)
     width = min(width, beam)
     while len(active):
@@ -107,7 +111,8 @@ class Graph:
         at = c
         while at < n:
             new = np.arange(at, min(n, at + min(batch, at)))
-            cand, cos = search(x[:at], edges[:at], x[new], self.entries, beam)
+            found = [search(x[:at], edges[:at], x[new[a : a + BLOCK]], self.entries, beam) for a in range(0, len(new), BLOCK)]
+            cand, cos = (np.concatenate(v) for v in zip(*found))
             edges[new], sims[new] = prune(x, cand, cos, degree, alpha)
             self._link_back(edges, sims, new, degree, alpha)
             at += len(new)
@@ -174,17 +179,18 @@ class Graph:
             front = lost[fit]
             seen[front] = True
 
-    def nearest(self, queries: np.ndarray, k: int, beam: int, own: np.ndarray | None = None, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, queries: np.ndarray, k: int, beam: int, own: np.ndarray | None = None, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest nodes of each query (numbers as given to the graph, -1 for none) and their cosines,
         best first; ``own`` is each query's own node, or -1, and left out."""
-        beam = max(beam, k)
+        beam = max(beam, k) + (own is not None)
         ids, sims = [], []
         for a in range(0, len(queries), block):
-            skip = None
+            mine = None
             if own is not None:
-                mine = own[a : a + block]
-                skip = np.where(mine >= 0, self.place[np.maximum(mine, 0)], -1)
-            i, s = search(self.x, self.edges, queries[a : a + block], self.entries, beam, skip=skip)
+                mine = np.where(own[a : a + block] >= 0, self.place[np.maximum(own[a : a + block], 0)], -1)
+            i, s = search(self.x, self.edges, queries[a : a + block], self.entries, beam, own=mine)
+            if mine is not None:
+                s[i == mine[:, None]] = NONE
             o = np.argsort(-s, axis=1, kind="stable")[:, :k]
             i, s = np.take_along_axis(i, o, 1), np.take_along_axis(s, o, 1)
             ids.append(np.where((i >= 0) & (s > NONE), self.order[np.maximum(i, 0)], -1))
