@@ -8,8 +8,8 @@
    turns the clean characters into the garbled ones is sought: UTF-8 bytes read as a single-byte
    codec, up to ``DEPTH`` times. A pair speaks for its best supported explanation only; chains of
    codecs with ``SUPPORT`` such pairs are learned.
-3. Alphabet. Non-ASCII characters of the texts that show none of the learned garblings; undoing one
-   must lead to these.
+3. Alphabet. Non-ASCII characters of the texts that show none of the learned garblings, found in two
+   passes; undoing one must lead to these.
 4. Application to all records: each run of non-ASCII characters is undone by the learned chain that
    explains it whole, the deepest first and the record's most frequent one among equals. Between
    back-ticks the deepest level is left, being an example of garbled text there.
@@ -209,17 +209,23 @@ def learned(docs: DataFrame) -> tuple[list[str], frozenset[str]]:
     pairs = cut(twin_pairs(docs), "garble-pairs")
     rows = learn_chains(pairs).orderBy(F.desc("pairs"), "chain").collect()  # bounded by the pool of codecs
     chains = [r["chain"] for r in rows]
-    # what a chain was seen to restore, before the alphabet is known
-    seen = {c for r in pairs.select(F.explode(F.split("clean", "")).alias("c")).groupBy("c").agg(F.count("*").alias("k")).where("k > 1").collect() for c in r["c"] if ord(c) > 127}
+    # what a chain was seen to restore; then what the texts hold that show none of that, and once more with those letters
+    alphabet = {c for r in pairs.select(F.explode(F.split("clean", "")).alias("c")).groupBy("c").agg(F.count("*").alias("k")).where("k > 1").collect() for c in r["c"] if ord(c) > 127}
+    alphabet |= _clean_letters(docs, chains, frozenset(alphabet))
+    letters = _clean_letters(docs, chains, frozenset(alphabet))
+    return chains, frozenset(letters | {d for c in letters for d in (c.upper(), c.lower()) if len(d) == 1 and ord(d) > 127})
 
-    def clean_letters(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        r = Restorer(chains, frozenset(seen))
+
+def _clean_letters(docs: DataFrame, chains: list[str], alphabet: frozenset[str]) -> set[str]:
+    """The non-ASCII characters of the texts in which no chain explains a run by the alphabet: bounded by Unicode."""
+
+    def letters(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        r = Restorer(chains, alphabet)
         for texts in batches:
-            yield pd.Series([[] if "�" in t or r.shows(t) else sorted({c for run in RUN.findall(t) for c in run}) for t in texts])
+            yield pd.Series([[] if "�" in t or r.shows(t) else sorted({c for run in RUN.findall(CODE.sub("", t)) for c in run}) for t in texts])
 
-    letters = docs.where(F.col("text").rlike(_NON_ASCII)).select(F.explode(F.pandas_udf(clean_letters, "array<string>")("text")).alias("c"))
-    alphabet = {r["c"] for r in letters.groupBy("c").agg(F.count("*").alias("k")).where(F.col("k") >= SEEN).collect()}  # bounded by Unicode
-    return chains, frozenset(alphabet | seen) - {"�"}
+    rows = docs.where(F.col("text").rlike(_NON_ASCII)).select(F.explode(F.pandas_udf(letters, "array<string>")("text")).alias("c"))
+    return {r["c"] for r in rows.groupBy("c").agg(F.count("*").alias("k")).where(F.col("k") >= SEEN).collect()}
 
 
 def restore_garbled(docs: DataFrame) -> DataFrame:

@@ -81,9 +81,9 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 6, seed: int = 0) ->
     return c.astype(np.float32), np.bincount(_nearest(sample, c, 1)[:, 0], minlength=len(c))
 
 
-def _nearest(x: np.ndarray, c: np.ndarray, k: int, block: int = 4096) -> np.ndarray:
-    """The k nearest centres of each vector, best first."""
-    k, out = min(k, len(c)), []
+def _nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest centres of each vector, best first; in blocks of a few million products."""
+    k, out, block = min(k, len(c)), [], max(64, 2**22 // len(c))
     for a in range(0, len(x), block):
         s = x[a : a + block] @ c.T
         if k == 1:
