@@ -82,18 +82,19 @@ def _seeds(rows: DataFrame, key: str, held=None) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = held.value if held is not None else None
         for batch in batches:
-            ids, found = [], []
-            for i, text in zip(batch[key], batch["text"]):
-                h = np.unique(seed_hashes(word_codes(words_of(text))))
-                if known is not None and len(h):
-                    at = np.searchsorted(known, h)
-                    at[at == len(known)] = 0
-                    h = h[known[at] == h]
-                if len(h):
-                    ids.append(np.full(len(h), i))
-                    found.append(h.view(np.int64))
-            if ids:
-                yield pd.DataFrame({key: np.concatenate(ids), "h": np.concatenate(found)})
+            # all texts of a batch at once; windows that cross from one text into the next don't count
+            words = [words_of(t) for t in batch["text"]]
+            text = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            hashes = seed_hashes(word_codes([w for ws in words for w in ws]))
+            inside = np.flatnonzero(text[: hashes.shape[1]] == text[len(text) - hashes.shape[1] :])
+            at, h = np.tile(text[inside], len(MASKS)), hashes[:, inside].ravel()
+            if known is not None:
+                place = np.searchsorted(known, h)
+                place[place == len(known)] = 0
+                hit = known[place] == h if len(known) else np.zeros(len(h), bool)
+                at, h = at[hit], h[hit]
+            if len(h):
+                yield pd.DataFrame({key: batch[key].to_numpy()[at], "h": h.view(np.int64)}).drop_duplicates()
 
     return rows.select(key, "text").mapInPandas(scan, f"{key} bigint, h bigint")
 
