@@ -2,7 +2,8 @@
 
 1. Upward: ``jump`` of round k is the 2^k-th ancestor. A node's subtree size doubles its reach each
    round (S(u) += sum of S(v) over the v whose 2^k-th ancestor is u), so sizes, depths and roots of
-   a tree of depth d take log2(d) rounds. Nodes that no round finishes are in or below a ring.
+   a tree of depth d take log2(d) rounds. A round moves only the nodes that haven't met their root;
+   nodes that no round finishes are in or below a ring.
 2. Siblings get disjoint preorder ranges by prefix sums of their subtree sizes. The sums are taken
    in two steps, over buckets of a parent's children and inside a bucket, so that a parent of a
    third of all rows is not one task's window.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from knowmill.sources.tables import cut, instant, key_of
+from knowmill.sources.tables import Rounds, cut, instant, key_of
 
 #: Buckets of one parent's children for the two-step prefix sums.
 BUCKETS = 256
@@ -46,40 +47,43 @@ def linked(nodes: DataFrame) -> DataFrame:
     return nodes.join(there, ["src", "p"], "left").select("src", "k", "id", F.when(F.col("there"), F.col("p")).alias("parent"))
 
 
-def _upward(nodes: DataFrame) -> DataFrame:
-    """(src, k, id, parent, size, depth, root, jump): jump is null of finished nodes only."""
-    state = nodes.select("src", "k", "id", "parent", F.lit(1).cast("bigint").alias("size"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.coalesce("parent", "k").alias("root"), F.col("parent").alias("jump"))
-    state = cut(state, "tree-up")
-    open_before = None
-    while True:
-        still = state.where("jump IS NOT NULL").count()
-        if still == 0 or still == open_before:  # depths leave no gap, so a round that finishes none finishes no later one
-            return state
-        open_before = still
-        sums = state.where("jump IS NOT NULL").groupBy("src", F.col("jump").alias("k")).agg(F.sum("size").alias("add"))
-        above = state.select("src", F.col("k").alias("jump"), F.col("depth").alias("d2"), F.col("root").alias("r2"), F.col("jump").alias("j2"))
-        state = cut(
-            state.join(above, ["src", "jump"], "left").join(sums, ["src", "k"], "left").select(
-                "src", "k", "id", "parent", (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"), F.col("j2").alias("jump"),
-            ),
-            "tree-up",
+def _upward(nodes: DataFrame, measures: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(src, k, depth, root) of the nodes of trees, and (src, k, *measures) summed over each node and all below it.
+
+    ``nodes``: (src, k, parent, *measures), a written table. A round works on the nodes that haven't
+    met their root yet; the others only stand to be looked up. What a round adds to the sums of the
+    nodes it reaches is kept and summed once in the end.
+    """
+    is_root = F.col("parent").isNull()
+    tree, added = Rounds("tree-up"), Rounds("tree-added")
+    now = tree.put(nodes.select("src", "k", F.col("parent").alias("jump"), F.when(is_root, 0).otherwise(1).alias("depth"), F.when(is_root, F.col("k")).alias("root"), *measures))
+    active = now.where("jump IS NOT NULL")
+    n, before = active.count(), -1
+    while n and n != before:  # depths leave no gap, so a round that finishes none finishes no later one: rings
+        sums = added.put(active.groupBy("src", F.col("jump").alias("k")).agg(*[F.sum(m).alias(m) for m in measures]))
+        above = tree.standing().select("src", F.col("k").alias("jump"), F.col("depth").alias("d2"), F.col("root").alias("r2"), F.col("jump").alias("j2"))
+        more = sums.select("src", "k", *[F.col(m).alias(f"_{m}") for m in measures])
+        now = tree.put(
+            active.join(above, ["src", "jump"]).join(more, ["src", "k"], "left").select(
+                "src", "k", F.col("j2").alias("jump"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("r2").alias("root"),
+                *[(F.col(m) + F.coalesce(f"_{m}", F.lit(0))).alias(m) for m in measures],
+            )
         )
+        active = now.where("jump IS NOT NULL")
+        n, before = active.count(), n
+    own = nodes.select("src", "k", *measures)
+    every = own.unionByName(added.rows().select("src", "k", *measures)) if added.spark else own
+    return tree.finished().select("src", "k", "depth", "root"), every.groupBy("src", "k").agg(*[F.sum(m).alias(m) for m in measures])
 
 
 def subtree_sums(nodes: DataFrame, measures: list[str]) -> DataFrame:
-    """(src, k, parent, *measures): each numeric measure summed over a node and all below it, by doubling.
+    """(src, k, parent, *measures): each numeric measure summed over a node and all below it.
 
     Nodes in or below a ring are left out. ``nodes`` are ``linked`` rows with the measures.
     """
-    up = _upward(nodes.select("src", "k", "id", "parent")).where("jump IS NULL").select("src", "k")
-    state = cut(nodes.join(up, ["src", "k"]).select("src", "k", "parent", *measures, F.col("parent").alias("jump")), "tree-sums")
-    while state.where("jump IS NOT NULL").limit(1).count():
-        sums = state.where("jump IS NOT NULL").groupBy("src", F.col("jump").alias("k")).agg(*[F.sum(m).alias(f"_{m}") for m in measures])
-        above = state.select("src", F.col("k").alias("jump"), F.col("jump").alias("j2"))
-        added = [(F.col(m) + F.coalesce(f"_{m}", F.lit(0))).alias(m) for m in measures]
-        state = cut(state.join(above, ["src", "jump"], "left").join(sums, ["src", "k"], "left").select("src", "k", "parent", *added, F.col("j2").alias("jump")), "tree-sums")
-    return state.drop("jump")
+    nodes = cut(nodes.select("src", "k", "parent", *measures), "tree-nodes")
+    trees, sums = _upward(nodes, measures)
+    return nodes.select("src", "k", "parent").join(trees.select("src", "k"), ["src", "k"]).join(sums, ["src", "k"])
 
 
 def _offsets(tree: DataFrame) -> DataFrame:
@@ -96,23 +100,23 @@ def _offsets(tree: DataFrame) -> DataFrame:
 
 def nested_sets(nodes: DataFrame) -> DataFrame:
     """(src, k, id, parent, root, top, depth, path, lft, rgt) of every node, top being the root's id; root, top, path, lft and rgt are null in or below a ring."""
-    up = _upward(linked(nodes))
-    tree = up.where("jump IS NULL").drop("jump")
-    state = cut(_offsets(tree).withColumns({"jump": F.col("parent"), "lft": F.col("off"), "path": F.col("id"), "top": F.col("id")}).drop("off"), "tree-down")
-    while state.where("jump IS NOT NULL").limit(1).count():
-        above = state.select("src", F.col("k").alias("jump"), F.col("lft").alias("l2"), F.col("path").alias("p2"), F.col("top").alias("t2"), F.col("jump").alias("j2"))
-        state = cut(
-            state.join(above, ["src", "jump"], "left").select(
-                "src", "k", "id", "parent", "size", "depth", "root", (F.col("lft") + F.coalesce("l2", F.lit(0))).alias("lft"),
-                F.when(F.col("p2").isNull(), F.col("path")).otherwise(F.concat("p2", F.lit(">"), "path")).alias("path"),
-                F.coalesce("t2", "top").alias("top"), F.col("j2").alias("jump"),
-            ),
-            "tree-down",
-        )
-    done = state.select("src", "k", "id", "parent", "root", "top", "depth", "path", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"))
+    all_nodes = cut(linked(nodes).withColumn("size", F.lit(1).cast("bigint")), "tree-nodes")
+    trees, sums = _upward(all_nodes, ["size"])
+    whole = all_nodes.drop("size").join(trees, ["src", "k"], "left").join(sums, ["src", "k"])
+    tree = cut(_offsets(whole.where("root IS NOT NULL")), "tree-ranges")
+    down = Rounds("tree-down")
+    now = down.put(tree.select("src", "k", F.col("parent").alias("jump"), F.col("off").alias("lft"), F.col("id").alias("path"), F.col("id").alias("top")))
+    active = now.where("jump IS NOT NULL")
+    while active.limit(1).count():
+        above = down.standing().select("src", F.col("k").alias("jump"), F.col("lft").alias("l2"), F.col("path").alias("p2"), F.col("top").alias("t2"), F.col("jump").alias("j2"))
+        now = down.put(
+            active.join(above, ["src", "jump"]).select("src", "k", F.col("j2").alias("jump"), (F.col("lft") + F.col("l2")).alias("lft"), F.concat("p2", F.lit(">"), "path").alias("path"), F.col("t2").alias("top"))
+        )
+        active = now.where("jump IS NOT NULL")
+    placed = tree.drop("off").join(down.finished(), ["src", "k"]).select("src", "k", "id", "parent", "root", "top", "depth", "path", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"))
     null = lambda kind: F.lit(None).cast(kind)
-    ring = up.where("jump IS NOT NULL").select("src", "k", "id", "parent", null("string").alias("root"), null("string").alias("top"), F.lit(-1).alias("depth"), null("string").alias("path"), null("bigint").alias("lft"), null("bigint").alias("rgt"))
-    return done.unionByName(ring)
+    ring = all_nodes.join(trees.select("src", "k"), ["src", "k"], "left_anti").select("src", "k", "id", "parent", null("string").alias("root"), null("string").alias("top"), F.lit(-1).alias("depth"), null("string").alias("path"), null("bigint").alias("lft"), null("bigint").alias("rgt"))
+    return placed.unionByName(ring)
 
 
 def descendants_of(sets: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that may surround a key or a value (fixed set: Unicode white space and the zero-width marks).
 SPACE = r"[\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -50,3 +51,34 @@ def key_of(col: Column) -> Column:
 def instant(col: Column) -> Column:
     """ISO-8601 text of any offset and precision as a point in time; anything else is null."""
     return F.try_to_timestamp(col)
+
+
+class Rounds:
+    """A table in the shared folder that grows by one batch a round, for jobs that work on what is unfinished.
+
+    Rows with a null ``jump`` are finished. All rounds are read as one table, so each round's plan
+    is the same, however many there were.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.path, self.last, self.schema, self.spark = name, "", -1, None, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """Writes the next round's rows and reads them back."""
+        if self.spark is None:
+            self.spark, self.schema = df.sparkSession, df.schema
+            self.path = f"{shared_folder(self.spark)}/{self.name}-{uuid.uuid4().hex}"
+        self.last += 1
+        df.select(*self.schema.names).write.parquet(f"{self.path}/round={self.last}")
+        return self.rows().where(F.col("round") == self.last).drop("round")
+
+    def rows(self) -> DataFrame:
+        """The rows of all rounds, with their ``round``."""
+        return self.spark.read.schema(T.StructType([*self.schema, T.StructField("round", T.IntegerType())])).parquet(self.path)
+
+    def standing(self) -> DataFrame:
+        """Finished rows of all rounds, and the last round's others."""
+        return self.rows().where(F.col("jump").isNull() | (F.col("round") == self.last)).drop("round")
+
+    def finished(self) -> DataFrame:
+        return self.rows().where(F.col("jump").isNull()).drop("round", "jump")
