@@ -88,3 +88,16 @@ def cyclic_nodes(e: DataFrame) -> DataFrame:
         if n == before:
             break
     return left.select(F.col("a").alias("node")).distinct()
+
+
+def new_edges(e: DataFrame, proposed: DataFrame, both_ways: bool = False) -> DataFrame:
+    """The proposed (project_id, type, a, b), and their reverses if asked for, that don't stand yet."""
+    if both_ways:
+        proposed = proposed.unionByName(proposed.select("project_id", "type", F.col("b").alias("a"), F.col("a").alias("b")))
+    return proposed.select("project_id", "type", "a", "b").distinct().join(e, ["project_id", "type", "a", "b"], "left_anti")
+
+
+def what_if(e: DataFrame, replaced: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(a, b): the edges without those that leave the ``replaced`` nodes (node), with the proposed ones."""
+    kept = e.join(replaced.select(F.col("node").alias("a")), "a", "left_anti").select("a", "b")
+    return kept.unionByName(proposed.select("a", "b")).distinct()

@@ -511,3 +511,40 @@ def txt_commit_messages(spark, folder):
     lines = table(spark, folder, "documents").where("source = 'commit_log'").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     p = lines.select("doc_id", "line", F.regexp_extract("line", r"^[0-9a-f]{7} (\w+)(\([^)]*\))?: ", 1).alias("type"), F.regexp_extract("line", r"^[0-9a-f]{7} \w+\(([^)]*)\): ", 1).alias("scope"))
     return p.where("type <> ''").groupBy("type", "scope").agg(F.count("*").alias("commits"), F.countDistinct("doc_id").alias("documents"), F.max(F.char_length("line")).alias("longest"))
+
+
+@query(f"""WITH RECURSIVE {TA}, ln AS (SELECT a.*, b.k parent FROM ta a LEFT JOIN ta b ON lower(trim(a.parent_id)) = b.k),
+tr AS (SELECT k, task_id top, 0 d FROM ln WHERE parent IS NULL UNION ALL SELECT c.k, t.top, t.d + 1 FROM tr t JOIN ln c ON c.parent = t.k)
+SELECT task_id, depth stored_depth, CAST(d AS INTEGER) true_depth, root_id stored_root, top true_root FROM tr JOIN ta USING (k) WHERE depth IS DISTINCT FROM d OR lower(trim(root_id)) IS DISTINCT FROM lower(top)""")
+def gr_wrong_depths(spark, folder):
+    """Tasks whose stored depth or root isn't that of the tree."""
+    tasks = table(spark, folder, "tasks")
+    nodes = hierarchy.node_rows(tasks, "tasks", "task_id", "parent_id", instant(F.col("updated_at")))
+    stored = tasks.groupBy(key_of(F.col("task_id")).alias("k")).agg(F.max_by(F.struct("depth", "root_id"), instant(F.col("updated_at"))).alias("t"))
+    true = hierarchy.nested_sets(nodes).where("root IS NOT NULL").select("k", F.col("id").alias("task_id"), F.col("depth").cast("int").alias("true_depth"), F.col("top").alias("true_root"))
+    both = true.join(stored, "k").select("task_id", F.col("t.depth").alias("stored_depth"), "true_depth", F.col("t.root_id").alias("stored_root"), "true_root")
+    same = F.col("stored_depth").eqNullSafe(F.col("true_depth")) & key_of(F.col("stored_root")).eqNullSafe(key_of(F.col("true_root")))
+    return both.where(~same)
+
+
+@query(f"""WITH {TA} SELECT project_id, count(*) flagged FROM ta WHERE regexp_matches(coalesce(block_reason, '') || ' ' || coalesce(description, ''), '(?i)failing|retr(y|ies)|is (missing|stale)') GROUP BY project_id""")
+def txt_flagged_notes(spark, folder):
+    """Tasks of each project whose notes speak of trouble."""
+    tasks = R.current(table(spark, folder, "tasks").withColumn("k", key_of(F.col("task_id"))), "k", rank=instant(F.col("updated_at")))
+    notes = F.concat(F.coalesce("block_reason", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
+    return tasks.where(notes.rlike("(?i)failing|retr(y|ies)|is (missing|stale)")).groupBy("project_id").agg(F.count("*").alias("flagged"))
+
+
+@query("""SELECT k AS "key", count(*) AS "rows", count(DISTINCT v) AS "values" FROM (SELECT unnest(json_keys(props)) k, props FROM events WHERE json_valid(props)), LATERAL (SELECT json_extract_string(props, '$."' || k || '"') v) GROUP BY k""")
+def txt_json_maps(spark, folder):
+    """The keys of open-shaped JSON objects, with how many rows and values each has."""
+    parsed = table(spark, folder, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("key", "v"))
+    return parsed.groupBy("key").agg(F.count("*").alias("rows"), F.countDistinct("v").alias("values"))
+
+
+@query(f"""WITH {DE}, p AS (SELECT project_id, tier, tier_name, count(*) n FROM de GROUP BY ALL) SELECT project_id, tier, CASE tier WHEN 0 THEN 'product_strategy' WHEN 1 THEN 'architecture' WHEN 2 THEN 'functional_design' WHEN 3 THEN 'execution' END expected_name, tier_name, n FROM p""")
+def prj_tier_names(spark, folder):
+    """Decisions by tier, with the name that belongs to the tier beside the stored one."""
+    names = F.create_map(*[F.lit(x) for kv in {0: "product_strategy", 1: "architecture", 2: "functional_design", 3: "execution"}.items() for x in kv])
+    d = _once(spark, folder, "decisions", "decision_id").groupBy("project_id", "tier", "tier_name").agg(F.count("*").alias("n"))
+    return d.select("project_id", "tier", names[F.col("tier")].alias("expected_name"), "tier_name", "n")

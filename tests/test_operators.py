@@ -216,3 +216,13 @@ def test_detailed_context(spark):
     near = spark.createDataFrame([("a", "B", 2), ("a", "C", 1), ("a", "D", 3), ("a", "A", 1)], "here string, related_id string, nearness int")
     got = [(r["part"], r["id"], r["used"]) for r in context.detailed(asked, docs, near, 25).collect()]
     assert sorted(got, key=str) == sorted([("requested", "A", None), ("related", "B", 20), ("related", "D", 25)], key=str)
+
+
+def test_new_edges_and_what_if(spark):
+    e = spark.createDataFrame([("p", "t", "a", "b"), ("p", "t", "b", "c")], "project_id string, type string, a string, b string")
+    asked = spark.createDataFrame([("p", "t", "a", "b"), ("p", "t", "c", "a"), ("p", "u", "a", "b")], "project_id string, type string, a string, b string")
+    assert {(r["type"], r["a"], r["b"]) for r in graph.new_edges(e, asked).collect()} == {("t", "c", "a"), ("u", "a", "b")}
+    assert graph.new_edges(e, asked, True).count() == 5
+    one = spark.createDataFrame([("b",)], "node string")
+    assert {(r["a"], r["b"]) for r in graph.what_if(e, one, asked).collect()} == {("a", "b"), ("c", "a")}
+    assert graph.cyclic_nodes(graph.what_if(e, one.where("false"), asked)).count() == 3
