@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from knowmill.sources.tables import trimmed
 
@@ -30,6 +31,8 @@ CANDIDATES = [",", ";", "|", "\n", "\t", "\r", "\uff0c", "\u3001", "\uff1b", "\u
 #: Always trusted when a source is too small to score: the plain list notations.
 PLAIN = [",", ";", "|", "\n", "\t", "\r"]
 ACCEPT = 0.5
+#: Common piece types kept of a source; a bound of the broadcast, not of the data that is counted.
+TYPES = 200
 VALUES = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("val", T.StringType())]))
 
 
@@ -55,15 +58,15 @@ def separator_scores(fields: DataFrame) -> DataFrame:
         sure.select("src", "fld", F.explode("p").alias("x")).select("src", "fld", piece_type(F.col("x")).alias("t")).where("t != ''")
         .groupBy("src", "fld", "t").count()
     )
-    common = types.groupBy("src", "fld").agg(F.expr(f"transform(slice(sort_array(collect_list(struct(count, t)), false), 1, {TYPES}), s -> s.t)").alias("types"))
+    place = F.row_number().over(W.partitionBy("src", "fld").orderBy(F.desc("count"), "t"))
+    common = types.withColumn("place", place).where(F.col("place") <= TYPES).groupBy("src", "fld").agg(F.collect_list("t").alias("types"))
     free = base.where(~F.col("b"))
     here = F.filter(F.array(*map(F.lit, CANDIDATES)), lambda c: F.contains(F.col("u"), c))
     rows = free.select("src", "fld", "u", F.explode(here).alias("sep"))
     rows = rows.select("src", "fld", "sep", F.filter(F.split("u", F.concat(F.lit(r"\Q"), "sep", F.lit(r"\E"))), lambda x: trimmed(x) != "").alias("p"))
-    others = marks
     counted = rows.join(F.broadcast(common), ["src", "fld"], "left").select(
         "src", "fld", "sep", F.size("p").alias("k"),
-        F.size(F.filter("p", lambda x: F.array_contains(F.coalesce("types", F.array().cast("array<string>")), piece_type(x)) | x.rlike(others) | (trimmed(x) == "q"))).alias("good"),
+        F.size(F.filter("p", lambda x: F.array_contains(F.coalesce("types", F.array().cast("array<string>")), piece_type(x)) | x.rlike(marks) | (trimmed(x) == "q"))).alias("good"),
     )
     score = counted.groupBy("src", "fld", "sep").agg(
         F.count("*").alias("n"),
@@ -73,10 +76,6 @@ def separator_scores(fields: DataFrame) -> DataFrame:
     return score.withColumn("score", F.col("consistency") * F.col("regularity"))
 
 
-#: Common piece types kept of a source; a bound of the broadcast, not of the data that is counted.
-TYPES = 200
-
-
 def _unescape(text: str) -> str:
     """One layer of backslash escapes off; malformed ones stay as they are."""
     simple = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
