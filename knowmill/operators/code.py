@@ -31,6 +31,8 @@ SYMBOLS = {
         ("constant", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(\w+)\s*:"),
     ],
 }
+#: Fixed value: names of test files.
+TEST_NAME = r"\.(test|spec)\.|^test_|_test\."
 LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "rs": "rust"}
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from knowmill.sources.tables import cut, instant, key_of
 
 #: How near a related document is by the type of its relationship; others come last.
-NEARNESS = {"depends_on": 1, "implements": 2, "references": 3, "child_of": 4, "related_to": 5, "contradicts": 6, "supersedes": 7}
+NEARNESS = {"depends_on": 1, "implements": 1, "references": 2, "related_to": 2, "contradicts": 3, "child_of": 3, "supersedes": 3}
 LAST = 99
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowmill.functions.text import first_heading, line_count, token_estimate
+from knowmill.operators.code import TEST_NAME
 
 SIZE, OVERLAP = 2000, 200
 PART, PART_OVERLAP = 200, 20
@@ -63,7 +64,7 @@ def manifest(files: DataFrame, path: str, text: str) -> DataFrame:
     name = F.element_at(F.split(F.col(path), "/"), -1)
     return files.select(
         F.col(path).alias("path"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("hash"), line_count(F.coalesce(F.col(text), F.lit(""))).alias("lines"),
-        name.rlike(r"(\.(test|spec)\.[^.]+$)|(^test_)|(_test\.[^.]+$)").alias("is_test"), F.regexp_extract(name, r"\.([^.]+)$", 1).alias("extension"),
+        name.rlike(TEST_NAME).alias("is_test"), F.regexp_extract(name, r"\.([^.]+)$", 1).alias("extension"),
     )
 
 

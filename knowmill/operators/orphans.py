@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowmill.sources.tables import cut, instant, key_of
+from knowmill.sources.tables import cut, instant, key_of, utc_text
 
 #: A key is heavy if it holds more than one in so many references; also the bound of the broadcast rows.
 HEAVY_SHARE = 1000
@@ -69,7 +69,7 @@ def orphan_references(relationships: DataFrame, decisions: DataFrame, kb: DataFr
     rest = refs.join(light.drop("n").hint("shuffle_merge"), by)
     orphans = hot.unionByName(rest).where(F.col("there").isNull() | (F.col("since") > F.col("at")))
     kind = F.when(F.col("there"), "late").when(F.col("gone"), "deleted").otherwise("missing")
-    return orphans.select("src", "fld", "record_id", F.date_format("at", "yyyy-MM").alias("period"), kind.alias("kind"))
+    return orphans.select("src", "fld", "record_id", utc_text(F.col("at"), "yyyy-MM").alias("period"), kind.alias("kind"))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from knowmill.functions.text import token_estimate
-from knowmill.sources.tables import instant, trimmed
+from knowmill.sources.tables import instant, trimmed, utc_text
 
 
 def language_breakdown(code: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def usage_by_actor(log: DataFrame) -> DataFrame:
 
 def daily_activity(log: DataFrame) -> DataFrame:
     """Actions per project and UTC day."""
-    return log.groupBy("project_id", F.date_format(instant(F.col("created_at")), "yyyy-MM-dd").alias("day"), "action").agg(F.count("*").alias("n"))
+    return log.groupBy("project_id", utc_text(instant(F.col("created_at")), "yyyy-MM-dd").alias("day"), "action").agg(F.count("*").alias("n"))
 
 
 def metadata_numbers(log: DataFrame) -> DataFrame:

@@ -461,7 +461,7 @@ def txt_paragraph_chunks(spark, folder):
 
 
 @query(f"""WITH {KB}, f AS (SELECT doc_id path, coalesce(content, '') c, list_extract(string_split(doc_id, '/'), -1) name FROM kb WHERE category = 'code_file')
-SELECT path, sha256(c) hash, CAST(len(string_split(c, chr(10))) AS INTEGER) lines, regexp_matches(name, '(\\.(test|spec)\\.[^.]+$)|(^test_)|(_test\\.[^.]+$)') is_test, regexp_extract(name, '\\.([^.]+)$', 1) AS "extension" FROM f""".replace("\\\\", "\\"))
+SELECT path, sha256(c) hash, CAST(len(string_split(c, chr(10))) AS INTEGER) lines, regexp_matches(name, '\\.(test|spec)\\.|^test_|_test\\.') is_test, regexp_extract(name, '\\.([^.]+)$', 1) AS "extension" FROM f""")
 def src_manifest(spark, folder):
     """Hash, lines, extension and kind of every code file."""
     return ingest.manifest(_kb(spark, folder).where("category = 'code_file'"), "doc_id", "content")

@@ -7,10 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowmill.operators.code import language_of
+from knowmill.operators.code import TEST_NAME, language_of
 
 #: Folders and files that are never indexed.
-EXCLUDED = ["node_modules", ".git", "dist", "build", "target", "__pycache__", ".venv", "venv", ".next", "coverage", "vendor"]
+EXCLUDED = ["node_modules", "__pycache__", "target", "dist", "build", ".git", ".next", ".nuxt", "coverage", ".cache", "vendor"]
 AUDIT = "ts string, tool string, agent string, has_actor boolean, project_id string, input_tokens bigint, output_tokens bigint, input_keys array<string>, _bad string"
 
 
@@ -40,7 +40,7 @@ def source_tree(spark: SparkSession, root: str, exclude: list[str] = (), include
     if include:
         files = files.where(ignored(F.col("path"), list(include)))
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", language_of(F.col("path")).alias("language"), name.rlike(r"(\.(test|spec)\.[^.]+$)|(^test_)|(_test\.[^.]+$)").alias("is_test"), "content")
+    return files.select("path", language_of(F.col("path")).alias("language"), name.rlike(TEST_NAME).alias("is_test"), "content")
 
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:

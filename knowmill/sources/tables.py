@@ -53,6 +53,11 @@ def instant(col: Column) -> Column:
     return F.try_to_timestamp(col)
 
 
+def utc_text(at: Column, pattern: str) -> Column:
+    """A point in time written in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), pattern)
+
+
 class Rounds:
     """A table in the shared folder that grows by one batch a round, for jobs that work on what is unfinished.
 
