@@ -75,4 +75,10 @@ SELECT DISTINCT 'kb_documents' src, doc_id record_id, version FROM kb_documents
 UNION ALL
 SELECT DISTINCT 'doc_chunks', chunk_id, version FROM doc_chunks
 WHERE length(regexp_replace(content, '^Document: [^\r\n]* \| Section:[^\r\n]*(\r\n|\n|\r|$)([ \t]*(\r\n|\n|\r))?', '')) > 2000""",
+    "p7_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM eval_items WHERE text IS NOT NULL),
+dr AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') run FROM d, unnest(range(1, len(w) - 10)) x(i)),
+tr AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') run FROM t, unnest(range(1, len(w) - 10)) x(i))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN tr USING (run)""",
 }
