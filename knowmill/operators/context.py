@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from knowmill.functions.text import token_estimate
-from knowmill.sources.tables import instant
+from knowmill.sources.tables import cut, instant
 
 #: Candidates that a group offers to the fill, best first: the report's top-k, and the bound of one fold.
 CANDIDATES = 200
@@ -27,19 +29,52 @@ def candidates(documents: DataFrame, code: DataFrame, bias: float = 0.5) -> Data
     return docs.unionByName(chunks)
 
 
-def budget_fill(rows: DataFrame, budget: int, limit: int = CANDIDATES) -> DataFrame:
-    """Of each project's best candidates those that fit the budget, in order: one too large is skipped, later
-    smaller ones still count. (project_id, place, kind, id, tokens, used)."""
-    order = W.partitionBy("project_id").orderBy(F.desc("score"), F.desc("kind"), "priority", F.desc("updated"), "id")
-    top = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)  # limited before the shuffle too
-    ordered = top.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("place", "kind", "id", "tokens"))).alias("xs"))
-    start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<struct<place:int,kind:string,id:string,tokens:int,used:int>>)").alias("kept"))
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds the place of each candidate in its project. A hot project is placed in two steps: by score, kind, priority
+    and day, then inside those."""
+    parts = ["project_id", "score", "kind", "priority", "day"]
+    rows = cut(rows.select("project_id", "kind", "id", "tokens", "score", "priority", "updated", F.expr("unix_seconds(updated) div 86400").alias("day")), "candidates")
+    sizes = rows.groupBy(*parts).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("project_id").orderBy(F.desc("score"), F.desc("kind"), "priority", F.desc("day")).rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select(*[F.col(c).alias(f"_{c}") for c in parts], F.coalesce(before, F.lit(0)).alias("before"))
+    inner = rows.withColumn("i", F.row_number().over(W.partitionBy(*parts).orderBy(F.desc("updated"), "id")))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in parts])
+    return inner.join(starts, same).select("project_id", (F.col("before") + F.col("i")).cast("int").alias("place"), "kind", "id", "tokens")
+
+
+def fill(rows: DataFrame, key: list[str], order: list[str], budget: int) -> DataFrame:
+    """Of each key's rows, in order, those that fit the budget after ``spent``: one too large is skipped, later smaller
+    ones still count. Adds ``used``.
+
+    What is left only shrinks, so of equal sizes those taken are the first ones, left / size at most. The rest can't be
+    taken and is dropped before the fold, which then holds at most left * (1 + ln(left)) rows of a key, however many
+    it has. Rows without tokens take nothing and don't enter the fold.
+    """
+    left = F.lit(budget) - F.col("spent")
+    fits = rows.where((F.col("tokens") >= 0) & (F.col("tokens") <= left))
+    nth = F.row_number().over(W.partitionBy(*key, "tokens").orderBy(*order))
+    able = fits.where("tokens > 0").withColumn("_n", nth).where(F.col("_n") <= F.floor(left / F.col("tokens"))).drop("_n")
+    names = [*order, *[c for c in rows.columns if c not in {*key, *order, "spent"}]]
+    lists = able.groupBy(*key).agg(F.min("spent").alias("spent"), F.sort_array(F.collect_list(F.struct(*names))).alias("xs"))
+    kind = ",".join(f"`{c}`:{dict(rows.dtypes)[c]}" for c in names)
+    start = F.struct(F.col("spent").cast("bigint").alias("used"), F.expr(f"cast(array() as array<struct<{kind},used:bigint>>)").alias("kept"))
     step = lambda acc, x: F.when(
         acc["used"] + x["tokens"] <= budget,
-        F.struct((acc["used"] + x["tokens"]).alias("used"), F.concat(acc["kept"], F.array(F.struct(x["place"].alias("place"), x["kind"].alias("kind"), x["id"].alias("id"), x["tokens"].alias("tokens"), (acc["used"] + x["tokens"]).alias("used")))).alias("kept")),
+        F.struct((acc["used"] + x["tokens"]).alias("used"), F.concat(acc["kept"], F.array(F.struct(*[x[c].alias(c) for c in names], (acc["used"] + x["tokens"]).alias("used")))).alias("kept")),
     ).otherwise(acc)
-    filled = ordered.select("project_id", F.aggregate("xs", start, step).alias("f"))
-    return filled.select("project_id", F.explode("f.kept").alias("x")).select("project_id", "x.*")
+    taken = lists.select(*key, F.explode(F.aggregate("xs", start, step)["kept"]).alias("x")).select(*key, "x.*")
+    steps = taken.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.collect_list(F.struct(F.struct(*order).alias("at"), "used")).alias("steps"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    earlier = F.transform(F.filter("steps", lambda s: s["at"] < F.struct(*order)), lambda s: s["used"])
+    free = fits.where("tokens = 0").join(steps, same, "left").select(*key, *names, F.coalesce(F.array_max(earlier), F.col("spent").cast("bigint")).alias("used"))
+    return taken.unionByName(free)
+
+
+def budget_fill(rows: DataFrame, budget: int) -> DataFrame:
+    """Of each project's candidates those that fit the budget, in order: one too large is skipped, later
+    smaller ones still count. (project_id, place, kind, id, tokens, used)."""
+    filled = fill(placed(rows).withColumn("spent", F.lit(0)), ["project_id"], ["place"], budget)
+    return filled.select("project_id", "place", "kind", "id", "tokens", F.col("used").cast("int"))
 
 
 def detailed(requested: DataFrame, documents: DataFrame, related: DataFrame, budget: int) -> DataFrame:

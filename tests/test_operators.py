@@ -86,6 +86,29 @@ def test_budget_fill_is_greedy(spark, seed):
     assert [(r["id"], r["used"]) for r in context.budget_fill(rows, budget).orderBy("place").collect()] == expected
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_budget_fill_reaches_the_last_candidate(spark, seed):
+    rng = np.random.default_rng(seed)
+    tokens, budget = [40] * 4 + [50] * 300 + [int(x) for x in rng.integers(0, 45, 400)] + [0, 1, 1], 200
+    at = [None if x == 0 else f"2024-01-{x:02} 10:00:00" for x in rng.integers(0, 28, len(tokens))]
+    rows = [("p", ["code", "document"][int(k)], f"{i:03}", n, float(s), int(p), u) for i, (n, k, s, p, u) in enumerate(zip(tokens, rng.integers(0, 2, len(tokens)), rng.integers(0, 3, len(tokens)), rng.integers(0, 3, len(tokens)), at))]
+    rows += [("q", "document", f"{i:03}", 5000 if i < 250 else 60, 1.0, 0, None) for i in range(255)]
+    expected = []
+    for project in "pq":
+        mine = sorted((r for r in rows if r[0] == project), key=lambda r: r[2])
+        mine.sort(key=lambda r: r[6] or "", reverse=True)
+        mine.sort(key=lambda r: r[5])
+        mine.sort(key=lambda r: (r[4], r[1]), reverse=True)
+        used = 0
+        for place, r in enumerate(mine, 1):
+            if used + r[3] <= budget:
+                used += r[3]
+                expected.append((project, place, *r[1:4], used))
+    frame = spark.createDataFrame(rows, "project_id string, kind string, id string, tokens int, score double, priority int, updated string").withColumn("updated", F.col("updated").cast("timestamp"))
+    assert max(x[1] for x in expected) > 200
+    assert sorted(tuple(r) for r in context.budget_fill(frame, budget).collect()) == sorted(expected)
+
+
 def paragraphs(text):
     import re
 
