@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from knowmill.functions.text import token_estimate
-from knowmill.sources.tables import cut, instant
-
-#: Candidates that a group offers to the fill, best first: the report's top-k, and the bound of one fold.
-CANDIDATES = 200
-
+from knowmill.sources.tables import cut, instant, key_of
 
 def candidates(documents: DataFrame, code: DataFrame, bias: float = 0.5) -> DataFrame:
     """(project_id, kind, id, tokens, score, ...): current documents and code chunks with their weights."""
@@ -77,24 +73,26 @@ def budget_fill(rows: DataFrame, budget: int) -> DataFrame:
     return filled.select("project_id", "place", "kind", "id", "tokens", F.col("used").cast("int"))
 
 
-def detailed(requested: DataFrame, documents: DataFrame, related: DataFrame, budget: int) -> DataFrame:
-    """Requested documents whole, then their related ones under what is left of the budget.
+def detailed(requested: DataFrame, documents: DataFrame, related: DataFrame, budget: int, code: DataFrame | None = None, key: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """Requested documents whole, and code chunks of the requested ids that are no document, then the project's related
+    documents under what is left of the budget.
 
-    requested: (project_id, k); related: best relations (here, related_id, nearness).
-    (project_id, part, id, tokens, used)
+    requested: (key, project_id, k), one request a key, which holds project_id; code: (project_id, chunk_id, content);
+    related: best relations (here, related_id, nearness).
+    (key, part, id, tokens, used)
     """
-    asked = documents.join(requested, ["project_id", "k"]).where("status <> 'superseded'").select("project_id", "k", F.lit("requested").alias("part"), F.col("doc_id").alias("id"), token_estimate(F.col("content")).alias("tokens"))
-    spent = asked.groupBy("project_id").agg(F.sum("tokens").alias("spent"))
-    near = requested.join(related, F.col("k") == F.col("here")).select("project_id", "related_id", "nearness")
-    other = near.groupBy("project_id", "related_id").agg(F.min("nearness").alias("nearness"))
-    held = other.join(documents.select(F.col("doc_id").alias("related_id"), F.col("k"), "content"), "related_id").join(requested.select("project_id", "k"), ["project_id", "k"], "left_anti")
-    order = W.partitionBy("project_id").orderBy("nearness", "id")
-    top = held.select("project_id", F.col("related_id").alias("id"), "nearness", token_estimate(F.col("content")).alias("tokens")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= CANDIDATES)
-    lists = top.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("place", "id", "tokens"))).alias("xs")).join(spent, "project_id", "left")
-    start = F.struct(F.coalesce("spent", F.lit(0)).cast("bigint").alias("used"), F.expr("cast(array() as array<struct<id:string,tokens:int,used:bigint>>)").alias("kept"))
-    step = lambda acc, x: F.when(
-        acc["used"] + x["tokens"] <= budget,
-        F.struct((acc["used"] + x["tokens"]).alias("used"), F.concat(acc["kept"], F.array(F.struct(x["id"].alias("id"), x["tokens"].alias("tokens"), (acc["used"] + x["tokens"]).alias("used")))).alias("kept")),
-    ).otherwise(acc)
-    rest = lists.select("project_id", F.explode(F.aggregate("xs", start, step)["kept"]).alias("x")).select("project_id", F.lit("related").alias("part"), "x.*")
-    return asked.select("project_id", "part", "id", "tokens", F.lit(None).cast("bigint").alias("used")).unionByName(rest)
+    key = list(key)
+    of = list(dict.fromkeys([*key, "project_id"]))
+    live = cut(documents.where("status <> 'superseded'").select("project_id", "k", F.col("doc_id").alias("id"), token_estimate(F.col("content")).alias("tokens")), "live")
+    requested = cut(requested.select(*of, "k"), "requested")
+    asked = requested.join(live, ["project_id", "k"])
+    if code is not None:
+        chunks = code.select("project_id", key_of(F.col("chunk_id")).alias("k"), F.col("chunk_id").alias("id"), token_estimate(F.col("content")).alias("tokens"))
+        unmatched = requested.join(live.select("project_id", "k"), ["project_id", "k"], "left_anti")
+        asked = asked.unionByName(unmatched.join(chunks, ["project_id", "k"]))
+    spent = asked.groupBy(*key).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("spent"))
+    near = requested.select(*of, F.col("k").alias("here")).join(related, "here").groupBy(*of, "related_id").agg(F.min("nearness").alias("nearness"))
+    held = near.join(live.withColumnRenamed("id", "related_id"), ["project_id", "related_id"]).join(requested, [*of, "k"], "left_anti")
+    rows = held.join(spent, key, "left").select(*key, "nearness", F.col("related_id").alias("id"), "tokens", F.coalesce("spent", F.lit(0)).alias("spent"))
+    rest = fill(rows, key, ["nearness", "id"], budget).select(*key, F.lit("related").alias("part"), "id", "tokens", "used")
+    return asked.select(*key, F.lit("requested").alias("part"), "id", "tokens", F.lit(None).cast("bigint").alias("used")).unionByName(rest)

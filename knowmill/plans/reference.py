@@ -438,11 +438,11 @@ def ctx_overview(spark, folder):
 
 @query()
 def ctx_detailed(spark, folder):
-    """For the first document of each project: itself and its related documents under a budget."""
-    kb = _kb(spark, folder).withColumn("k", key_of(F.col("doc_id")))
-    first = kb.where("status <> 'superseded' AND category <> 'code_file'").groupBy("project_id").agg(F.min("k").alias("k"))
+    """For every live document and every code chunk as a request: itself and its related documents under a budget."""
+    kb, code = _kb(spark, folder).withColumn("k", key_of(F.col("doc_id"))), _code(spark, folder)
+    asked = kb.where("status <> 'superseded'").select("project_id", "k").unionByName(code.select("project_id", key_of(F.col("chunk_id")).alias("k"))).where("k IS NOT NULL").distinct()
     near = graph.best_relation(graph.neighbours(_edges(spark, folder), kb))
-    return context.detailed(first, kb, near, 4000)
+    return context.detailed(asked.withColumn("request", F.col("k")), kb, near, 4000, code, ("project_id", "request"))
 
 
 # -- ingestion

@@ -241,6 +241,45 @@ def test_detailed_context(spark):
     assert sorted(got, key=str) == sorted([("requested", "A", None), ("related", "B", 20), ("related", "D", 25)], key=str)
 
 
+def test_detailed_context_of_a_hub(spark):
+    """Small neighbours after place 200, a code chunk among the requests, and another project's document."""
+    n = 300
+    docs = spark.createDataFrame([("p", "hub", "HUB", "active", "x" * 40), *[("p", f"d{i:03}", f"D{i:03}", "active", "x" * (400 if i < 250 else 20)) for i in range(n)], ("q", "far", "FAR", "active", "x")], "project_id string, k string, doc_id string, status string, content string")
+    code = spark.createDataFrame([("p", "C1", "y" * 8), ("q", "C2", "y"), ("p", "HUB", "no")], "project_id string, chunk_id string, content string")
+    asked = spark.createDataFrame([("p", "r1", "hub"), ("p", "r1", "c1"), ("p", "r1", "c2"), ("p", "r2", "d000")], "project_id string, request string, k string")
+    near = spark.createDataFrame([*[("hub", f"D{i:03}", 1) for i in range(n)], *[(f"d{i:03}", "HUB", 1) for i in range(n)], ("hub", "FAR", 1)], "here string, related_id string, nearness int")
+    got = {(r["request"], r["part"], r["id"], r["used"]) for r in context.detailed(asked, docs, near, 30, code, ("project_id", "request")).collect()}
+    assert got == {("r1", "requested", "HUB", None), ("r1", "requested", "C1", None), ("r1", "related", "D250", 17), ("r1", "related", "D251", 22), ("r1", "related", "D252", 27), ("r2", "requested", "D000", None)}
+    wide = context.detailed(asked.where("k = 'hub'").select("project_id", "k"), docs, near, 30)
+    assert [r["id"] for r in wide.where("part = 'related'").orderBy("used").collect()] == ["D250", "D251", "D252", "D253"]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_detailed_context_against_brute_force(spark, size):
+    folder = f"/root/testdata/{size}"
+    clean, cost = lambda x: (x or "").strip().lower(), lambda x: -(-len(x) // 4)
+    kb = {}
+    for r in spark.read.parquet(f"{folder}/kb_documents.parquet").collect():
+        if r["doc_id"] not in kb or kb[r["doc_id"]]["version"] < r["version"]:
+            kb[r["doc_id"]] = r
+    live = {clean(i): r for i, r in kb.items() if r["status"] != "superseded"}
+    chunks = {clean(r["chunk_id"]): r for r in spark.read.parquet(f"{folder}/code_chunks.parquet").select("chunk_id", "project_id", "content").collect()}
+    near = {}
+    for r in spark.read.parquet(f"{folder}/relationships.parquet").collect():
+        for a, b in [(clean(r["from_id"]), clean(r["to_id"])), (clean(r["to_id"]), clean(r["from_id"]))]:
+            if a and b in live:
+                near.setdefault(a, {})[b] = min(near.get(a, {}).get(b, 99), graph.NEARNESS.get(r["type"], 99))
+    expected = set()
+    for k, r in {**chunks, **live}.items():
+        used = cost(r["content"])
+        expected.add((r["project_id"], k, "requested", r["doc_id"] if k in live else r["chunk_id"], used, None))
+        for _, i, b in sorted((rank, live[b]["doc_id"], b) for b, rank in near.get(k, {}).items() if b != k and live[b]["project_id"] == r["project_id"]):
+            if used + cost(live[b]["content"]) <= 4000:
+                used += cost(live[b]["content"])
+                expected.add((r["project_id"], k, "related", i, cost(live[b]["content"]), used))
+    assert {tuple(r) for r in reference.ctx_detailed(spark, folder).select("project_id", "request", "part", "id", "tokens", "used").collect()} == expected
+
+
 def test_new_edges_and_what_if(spark):
     e = spark.createDataFrame([("p", "t", "a", "b"), ("p", "t", "b", "c")], "project_id string, type string, a string, b string")
     asked = spark.createDataFrame([("p", "t", "a", "b"), ("p", "t", "c", "a"), ("p", "u", "a", "b")], "project_id string, type string, a string, b string")
