@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowmill.functions.text import first_heading, line_count, token_estimate
-from knowmill.operators.code import TEST_NAME
+from knowmill.operators.code import TEST_NAME, symbols
 
 SIZE, OVERLAP = 2000, 200
 PART, PART_OVERLAP = 200, 20
@@ -59,6 +59,17 @@ def line_parts(rows: DataFrame, key: list[str], text: str = "content", size: int
     return each.select(*key, "part", "parts", (first + 1).alias("first_line"), F.array_join(F.slice("_l", first + 1, F.when(F.col("parts") == 1, F.greatest(F.size("_l"), F.lit(1))).otherwise(size)), "\n").alias("content"))
 
 
+def symbol_parts(files: DataFrame, key: str, path: str, text: str = "content") -> DataFrame:
+    """The symbols of code files, those of more than ``PART`` lines in parts: (key, symbol_type, symbol_name, start_line,
+    part, parts, first_line, last_line, content), lines as in the file."""
+    found = symbols(files, key, path, text).join(files.select(key, F.split(F.col(text), "\n").alias("_f")), key)
+    body = F.array_join(F.slice("_f", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    parts = line_parts(found.select(key, "symbol_type", "symbol_name", "start_line", body.alias("_body")), [key, "symbol_type", "symbol_name", "start_line"], "_body")
+    first = (F.col("start_line") + F.col("first_line") - 1).cast("int")
+    name = F.when(F.col("parts") > 1, F.concat("symbol_name", F.lit(" (part "), "part", F.lit("/"), "parts", F.lit(")"))).otherwise(F.col("symbol_name"))
+    return parts.select(key, "symbol_type", name.alias("symbol_name"), "start_line", "part", "parts", first.alias("first_line"), (first + line_count(F.col("content")) - 1).alias("last_line"), "content")
+
+
 def manifest(files: DataFrame, path: str, text: str) -> DataFrame:
     """(path, hash, lines, is_test, extension): what the next run compares files with."""
     name = F.element_at(F.split(F.col(path), "/"), -1)

@@ -486,6 +486,12 @@ def txt_line_parts(spark, folder):
     return ingest.line_parts(_kb(spark, folder).where("category <> 'code_file'"), ["doc_id"], size=40, overlap=4)
 
 
+@query()
+def txt_symbol_parts(spark, folder):
+    """The symbols that every code chunk defines, those of more than 200 lines in overlapping parts."""
+    return ingest.symbol_parts(_code(spark, folder), "chunk_id", "file_path")
+
+
 @query()
 def txt_symbols(spark, folder):
     """The symbols that every code chunk defines."""

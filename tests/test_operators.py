@@ -143,6 +143,19 @@ def test_line_parts(spark):
     assert [(r["part"], r["parts"], r["first_line"], r["content"].split("\n")[0], r["content"].split("\n")[-1]) for r in rows] == [(1, 3, 1, "l1", "l200"), (2, 3, 181, "l181", "l380"), (3, 3, 361, "l361", "l450"), (1, 1, 1, "a", "b")]
 
 
+def test_symbol_parts(spark):
+    long = "import os\n\ndef big():\n" + "\n".join(f"    x{i} = {i}" for i in range(449)) + "\n\ndef small():\n    pass\n"
+    rows = ingest.symbol_parts(spark.createDataFrame([("a.py", long), ("b.md", long), ("c.py", None)], "path string, content string"), "path", "path").orderBy("start_line", "part").collect()
+    lines = long.split("\n")
+    assert [(r["path"], r["symbol_name"], r["first_line"], r["last_line"]) for r in rows] == [("a.py", "big (part 1/3)", 3, 202), ("a.py", "big (part 2/3)", 183, 382), ("a.py", "big (part 3/3)", 363, 453), ("a.py", "small", 454, 455)]
+    assert all(r["content"] == "\n".join(lines[r["first_line"] - 1 : r["last_line"]]) for r in rows)
+
+
+def test_symbol_parts_are_those_of_txt_symbols(spark, sf):
+    found = {(r["chunk_id"], r["symbol_name"], r["first_line"], r["last_line"]) for r in reference.txt_symbol_parts(spark, sf).where("parts = 1").collect()}
+    assert found and found == {(r["chunk_id"], r["symbol_name"], r["start_line"], r["end_line"]) for r in reference.txt_symbols(spark, sf).where("end_line - start_line < 200").collect()}
+
+
 def test_changes(spark):
     frame = lambda rows: spark.createDataFrame(rows, "path string, hash string")
     got = ingest.changes(frame([("a", "1"), ("b", "1"), ("c", "1"), ("e", None)]), frame([("a", "1"), ("b", "2"), ("d", "1"), ("e", None)]))
