@@ -1,17 +1,21 @@
 """Most similar vectors for every vector: pruned graphs over shards, beam search of the right shards.
 
-1. Equal unit vectors are one class (pre-aggregated group by the vector's bytes); only one of each
+1. Cells: spherical k-means on a bounded sample (``SAMPLE`` vectors at most); neighbouring cells are
+   put together to shards of about ``SHARD`` vectors.
+2. Equal unit vectors are one class (pre-aggregated group by the vector's bytes); only one of each
    goes on, and at most k + 1 members of a class, the first by id, take part as neighbours.
-2. Cells: spherical k-means on a bounded sample (``SAMPLE`` vectors at most); neighbouring cells are
-   put together to shards of about ``SHARD`` vectors. Every vector is a member of its cell's shard
-   and a query to the shards of its ``PROBES`` nearest cells (or to all shards).
-3. Hot shards are split: members beyond ``PIECE`` times ``SHARD`` into pieces by hash, each a graph that
+3. Routes: every vector is a member of its nearest cell's shard, and a query to the shards of those of its
+   ``PROBES`` nearest cells whose centre is less similar by ``MARGIN`` at most than the nearest one's
+   (or to all shards). Member and query of one shard travel as one row.
+4. Hot shards are split: members beyond ``PIECE`` times ``SHARD`` into pieces by hash, each a graph that
    all the shard's queries search; queries beyond ``CHUNK`` into chunks that each meet the members.
    So no group holds many more members or queries than that, and nothing is left out.
-4. In each group the graph is built (greedy searches propose neighbours, relaxed pruning keeps diverse
-   edges) and beam search answers the queries; the best k of all groups are merged per query.
+5. In each group the graph is built (greedy searches propose neighbours, relaxed pruning keeps diverse
+   edges) and beam search answers the queries. A group's answers to a query travel as one row of arrays;
+   the best k of all groups are ranked per query.
 
-Broadcast are the cells: at most ``CELLS`` times 64 floats.
+Broadcast are the cells, at most ``CELLS`` times 64 floats, and the names of classes that hold more than
+one in ``HEAVY_SHARE`` of all copies, so fewer than that.
 
 Vectors that are null, of another length, zero or not finite belong to no pair. Ties are broken by
 id; rows that share an id count once; empty tables give no rows; extra columns are ignored.
@@ -35,10 +39,12 @@ DIM = 64
 SHARD, CHUNK = 2_000, 60_000
 #: A piece holds at most so many times the members of a shard.
 PIECE = 3
-CELLS_A_SHARD, PROBES = 16, 8
+CELLS_A_SHARD, PROBES, MARGIN = 16, 16, 0.12
 TASKS = 10_000
 CELLS, SAMPLE = 16_384, 131_072
-DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 40, 28, 1.2
+DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 28, 18, 1.2
+#: A class is heavy if it holds more than one in so many of all copies; also the bound of the broadcast rows.
+HEAVY_SHARE = 1000
 
 
 def unit_vectors(rows: DataFrame, dim: int = DIM) -> DataFrame:
@@ -47,13 +53,14 @@ def unit_vectors(rows: DataFrame, dim: int = DIM) -> DataFrame:
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
+            most = np.abs(x).max(axis=1, initial=0)  # a null is read as NaN
+            usable = np.isfinite(most) & (most > 0)
+            x = x[usable] / most[usable, None]
             x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32) + np.float32(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(x)], ["id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(usable)), _packed(x)], ["id", "v"])
 
-    usable = F.coalesce(F.size("vector"), F.lit(-1)) == dim
-    usable &= F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)
-    return rows.where(usable).select("id", "vector").mapInArrow(scale, "id string, v binary")
+    long = F.coalesce(F.size("vector"), F.lit(-1)) == dim
+    return rows.where(long).select("id", "vector").mapInArrow(scale, "id string, v binary")
 
 
 def _packed(x: np.ndarray) -> pa.Array:
@@ -72,26 +79,26 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 6, seed: int = 0) ->
     rng = np.random.default_rng(seed)
     c = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
     for _ in range(rounds):
-        home = _nearest(sample, c, 1)[:, 0]
+        home = _nearest(sample, c, 1)[0][:, 0]
         order = np.argsort(home, kind="stable")
         held = np.bincount(home, minlength=len(c))
         some = held > 0
         sums = np.add.reduceat(sample[order], np.r_[0, np.cumsum(held[some])[:-1]], axis=0)
         c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return c.astype(np.float32), np.bincount(_nearest(sample, c, 1)[:, 0], minlength=len(c))
+    return c.astype(np.float32), np.bincount(_nearest(sample, c, 1)[0][:, 0], minlength=len(c))
 
 
-def _nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest centres of each vector, best first; in blocks of a few million products."""
-    k, out, block = min(k, len(c)), [], max(64, 2**22 // len(c))
+def _nearest(x: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest centres of each vector, best first, and their cosines; in blocks of a few million products."""
+    k, block = min(k, len(c)), max(64, 2**22 // len(c))
+    near, cos = np.empty((len(x), k), np.int32), np.empty((len(x), k), np.float32)
     for a in range(0, len(x), block):
         s = x[a : a + block] @ c.T
-        if k == 1:
-            out.append(s.argmax(1)[:, None])
-            continue
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1))
-    return np.concatenate(out) if out else np.empty((0, k), int)
+        top = s.argmax(1)[:, None] if k == 1 else np.argpartition(-s, k - 1, axis=1)[:, :k]
+        own = np.take_along_axis(s, top, 1)
+        order = np.argsort(-own, axis=1, kind="stable")
+        near[a : a + block], cos[a : a + block] = np.take_along_axis(top, order, 1), np.take_along_axis(own, order, 1)
+    return near, cos
 
 
 def group_cells(centres: np.ndarray, weight: np.ndarray, shards: int) -> np.ndarray:
@@ -119,40 +126,42 @@ def nearest_vectors(
 ) -> DataFrame:
     """(id, vector) -> (id, other, cos, place): the k most similar other vectors of each, of cosine ``min_cos`` at least.
 
-    probes: cells whose shards a query searches; None means every shard. query_share: only ids whose
+    probes: cells whose shards a query may search; None means every shard. query_share: only ids whose
     hash is divisible by it are queries (all are indexed).
     """
     spark = rows.sparkSession
-    unit = unit_vectors(rows, dim)
-    asks = F.pmod(F.xxhash64("id"), F.lit(query_share)) == 0
-    classes = unit.groupBy("v").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.max(asks).alias("is_query"))
-    classes = cut(classes, "vector-classes")
-    total = classes.count()
-    schema = "id string, other string, cos double, place int"
+    rows = rows.select("id", "vector")
+    total = rows.count()
     if total == 0:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "id string, other string, cos double, place int")
     shards = max(1, math.ceil(total / shard))
-    cells = min(CELLS, max(1, shards * CELLS_A_SHARD), total)
+    cells = min(CELLS, shards * CELLS_A_SHARD)
     size = min(SAMPLE, max(1000, 32 * cells))
     # at most SAMPLE vectors, for the centres only
-    fraction = min(1.0, 1.2 * size / total)
-    sample = np.stack([np.frombuffer(r["v"], np.float32) for r in classes.select("v").sample(fraction, seed=7).limit(size).toLocalIterator()] or [np.ones(dim, np.float32)])
-    centres, weight = fit_cells(sample, cells)
+    sample = unit_vectors(rows.sample(min(1.0, 0.95 * size / total), seed=7).limit(size), dim).select("v").collect()
+    points = np.unique(np.frombuffer(b"".join(r["v"] for r in sample), np.float32).reshape(-1, dim), axis=0) if sample else np.ones((1, dim), np.float32)
+    centres, weight = fit_cells(points, min(cells, len(points)))
     held = spark.sparkContext.broadcast((centres, group_cells(centres, weight, shards)))
     everywhere = probes is None
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, shard_of = held.value
         for batch in batches:
-            near = shard_of[_nearest(_unpacked(batch.column(0), dim), c, 1 if everywhere else probes)]
+            near, cos = _nearest(_unpacked(batch.column(0), dim), c, 1 if everywhere else probes)
+            near = shard_of[near]
             home = near[:, 0].copy()
+            near[cos < cos[:, :1] - MARGIN] = -1
             near.sort(axis=1)
-            fresh = np.c_[np.ones(len(near), bool), near[:, 1:] != near[:, :-1]]
+            fresh = near >= 0
+            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
             offsets = np.r_[0, np.cumsum(fresh.sum(1))].astype(np.int32)
             asked = pa.ListArray.from_arrays(pa.array(offsets), pa.array(near[fresh].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(home.astype(np.int32)), asked, batch.column(2)], ["id", "v", "home", "asked", "is_query"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2, 3, 0)), pa.array(home.astype(np.int32)), asked], ["id", "last", "is_query", "v", "home", "asked"])
 
-    routed = cut(classes.select("v", "id", "is_query").mapInArrow(route, "id string, v binary, home int, asked array<int>, is_query boolean"), "vector-routes")
+    unit = unit_vectors(rows, dim)
+    asks = F.pmod(F.xxhash64("id"), F.lit(query_share)) == 0
+    classes = unit.groupBy("v").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.max(asks).alias("is_query"))
+    routed = cut(classes.select("v", "id", "last", "is_query").mapInArrow(route, "id string, last string, is_query boolean, v binary, home int, asked array<int>"), "vector-routes")
     # sizes of the shards: at most CELLS rows
     members = dict(routed.groupBy("home").count().collect())
     asked = routed.where("is_query")
@@ -163,56 +172,76 @@ def nearest_vectors(
     else:
         queries = dict(asked.select(F.explode("asked").alias("s")).groupBy("s").count().collect())
     pieces = {s: math.ceil(n / (PIECE * shard)) for s, n in members.items()}
-    chunks = {s: math.ceil(queries.get(s, 0) / CHUNK) for s in members}
-    plan = spark.createDataFrame([(s, pieces[s], chunks[s]) for s in sorted(members) if chunks[s]], "shard int, pieces int, chunks int")
-    ask = asked.select("id", "v", F.explode("asked").alias("shard"))
-    ask = ask.join(F.broadcast(plan), "shard").select("id", "v", "shard", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64(F.lit(1), "id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
-    be = routed.join(F.broadcast(plan.withColumnRenamed("shard", "home")), "home").select("id", "v", F.col("home").alias("shard"), F.pmod(F.xxhash64(F.lit(2), "id"), F.col("pieces")).cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"))
+    chunks = {s: max(1, math.ceil(queries.get(s, 0) / CHUNK)) for s in members}
+    plan = F.broadcast(spark.createDataFrame([(s, pieces[s], chunks[s]) for s in sorted(members)], "shard int, pieces int, chunks int"))
+    piece, chunk = F.pmod(F.xxhash64(F.lit(2), "id"), F.col("pieces")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "id"), F.col("chunks")).cast("int")
+    ask = (
+        asked.select("id", "v", "home", F.explode("asked").alias("shard")).join(plan, "shard")
+        .select("id", "v", "shard", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), chunk.alias("chunk"), F.lit(True).alias("asks"), (F.col("home") == F.col("shard")).alias("at_home"), piece.alias("own"))
+        .select("id", "v", "shard", "piece", "chunk", "asks", (F.col("at_home") & (F.col("piece") == F.col("own"))).alias("member"))
+    )
+    # members that aren't among the queries of their own group already
+    be = (
+        routed.withColumnRenamed("home", "shard").join(plan, "shard")
+        .select("id", "v", "is_query", "shard", piece.alias("piece"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), chunk.alias("own"))
+        .where(~F.col("is_query") | (F.col("chunk") != F.col("own"))).select("id", "v", "shard", "piece", "chunk", F.lit(False).alias("asks"), F.lit(True).alias("member"))
+    )
 
     def answer(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy().astype(bool)
-        ids = table.column("id").to_numpy()
+        asking, being = (table.column(c).to_numpy().astype(bool) for c in ("asks", "member"))
+        ids = np.array(table.column("id").to_pylist(), object)
         x = _unpacked(table.column("v"), dim)
-        index, question = np.flatnonzero(~asks), np.flatnonzero(asks)
-        none = pa.table({"id": pa.array([], pa.string()), "other": pa.array([], pa.string()), "cos": pa.array([], pa.float64())})
+        index, question = np.flatnonzero(being), np.flatnonzero(asking)
         if not len(index) or not len(question):
-            return none
-        number = {i: n for n, i in enumerate(ids[index])}
-        own = np.array([number.get(i, -1) for i in ids[question]])
-        near, cos = Graph(x[index], DEGREE, BUILD_BEAM, ALPHA).nearest(x[question], k, beam, own)
-        row, col = np.nonzero((near >= 0) & (cos >= min_cos))
-        return pa.table({"id": pa.array(ids[question][row], pa.string()), "other": pa.array(ids[index][near[row, col]], pa.string()), "cos": pa.array(cos[row, col].astype(np.float64))})
+            return pa.table({"id": pa.array([], pa.string()), "others": pa.array([], pa.list_(pa.string())), "cos": pa.array([], pa.list_(pa.float32()))})
+        place = np.full(len(ids), -1)
+        place[index] = np.arange(len(index))
+        near, cos = Graph(x[index], DEGREE, BUILD_BEAM, ALPHA).nearest(x[question], k, beam, place[question])
+        good = (near >= 0) & (cos >= min_cos)
+        some = good.any(1)
+        near, cos, good = near[some], cos[some], good[some]
+        offsets = pa.array(np.r_[0, np.cumsum(good.sum(1))].astype(np.int32))
+        lists = lambda values: pa.ListArray.from_arrays(offsets, values)
+        return pa.table({"id": pa.array(ids[question][some], pa.string()), "others": lists(pa.array(ids[index][near[good]], pa.string())), "cos": lists(pa.array(cos[good], pa.float32()))})
 
     groups = sum(pieces[s] * chunks[s] for s in members)
     # a task a group, within reason: groups of one task can't be split later
-    both = ask.unionByName(be).repartition(max(1, min(groups, TASKS)), "shard", "piece", "chunk")
-    met = both.groupBy("shard", "piece", "chunk").applyInArrow(answer, "id string, other string, cos double")
+    met = ask.unionByName(be).repartition(max(1, min(groups, TASKS)), "shard", "piece", "chunk").groupBy("shard", "piece", "chunk").applyInArrow(answer, "id string, others array<string>, cos array<float>")
+    # the arrays go through the shuffle; the ranking keeps that partitioning
+    each = met.repartition("id").select("id", F.explode(F.arrays_zip("others", "cos")).alias("x")).select("id", F.col("x.others").alias("other"), F.col("x.cos").cast("double").alias("cos"))
     ranked = W.partitionBy("id").orderBy(F.desc("cos"), "other")
-    found = met.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
-    return _with_copies(unit, classes, found, k, query_share).where(F.col("cos") >= min_cos).select("id", "other", "cos", "place")
+    found = each.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
+    return _with_copies(unit, routed, found, k, query_share).where(F.col("cos") >= min_cos)
 
 
 def _with_copies(unit: DataFrame, classes: DataFrame, found: DataFrame, k: int, query_share: int) -> DataFrame:
-    """Neighbours of all members of the classes, from those of the classes' first members."""
-    several = classes.where("id <> last").select("v", F.col("id").alias("rep"))
-    members = cut(unit.join(several, "v").select("rep", "id").distinct(), "vector-copies")
-    place = F.row_number().over(W.partitionBy("rep").orderBy("id"))
-    first = members.withColumn("n", place).where(F.col("n") <= k + 1)  # limited before the shuffle
+    """Neighbours of all members of the classes, from those of the classes' first members.
+
+    A class is named by its first member. The members of a heavy class are dealt to as many parts as it
+    holds thousandths of all copies, and what each member gets, at most 2 k + 1 neighbours, goes to every part.
+    """
+    mark = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]  # 128 bits stand for the vector
+    several = cut(classes.where("id <> last").select(F.col("id").alias("rep"), *mark), "vector-classes")
+    members = cut(unit.select("id", *mark).join(several, ["h1", "h2"]).select("rep", "id").distinct(), "vector-copies")
     sizes = members.groupBy("rep").agg(F.count("*").alias("size"))
+    first = members.withColumn("n", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1)  # limited before the shuffle
+    parts = F.ceil(F.col("size") * HEAVY_SHARE / F.lit(max(1, members.count()))).cast("int")  # 1 unless heavy
+    held = cut(first.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("firsts")).join(sizes, "rep").withColumn("parts", parts), "vector-firsts")
+    every = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    heavy = held.where("parts > 1").select("rep", "parts")  # fewer than HEAVY_SHARE
+    dealt = members.join(F.broadcast(heavy), "rep", "left").select("rep", F.col("id").alias("copy"), F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     asks = F.pmod(F.xxhash64("id"), F.lit(query_share)) == 0
     # inside a class: the first k others by id
-    inside = (
-        members.where(asks).join(first.select("rep", F.col("id").alias("other"), "n"), "rep").where("id <> other")
-        .withColumn("place", F.col("n") - F.when(F.col("id") < F.col("other"), 1).otherwise(0))
-        .where(F.col("place") <= k).select("id", "other", F.lit(1.0).alias("cos"), "place")
-    )
+    own = dealt.join(every(held.select("rep", "firsts", "parts")), ["rep", "part"])
+    inside = own.select(F.col("copy").alias("id"), F.posexplode(F.slice(F.filter("firsts", lambda x: x != F.col("copy")), 1, k)).alias("n", "other")).select("id", "other", F.lit(1.0).alias("cos"), (F.col("n") + 1).alias("place"))
     # across: a neighbour stands for its first members, a class of k or fewer members asks for all of them
-    others = found.join(first.select(F.col("rep").alias("other"), F.col("id").alias("copy")), "other", "left")
-    others = others.select("id", F.coalesce("copy", "other").alias("other"), "cos").join(sizes.withColumnRenamed("rep", "id"), "id", "left")
+    others = found.join(held.select(F.col("rep").alias("other"), "firsts"), "other", "left").select("id", F.explode(F.coalesce("firsts", F.array("other"))).alias("other"), "cos")
+    others = others.join(held.select(F.col("rep").alias("id"), "size", "parts"), "id", "left")
     before = F.coalesce(F.col("size") - 1, F.lit(0))
     ranked = others.withColumn("place", (before + F.row_number().over(W.partitionBy("id").orderBy(F.desc("cos"), "other"))).cast("int")).where(F.col("place") <= k)
-    across = ranked.join(members.select(F.col("rep").alias("id"), F.col("id").alias("copy")), "id", "left").select(F.coalesce("copy", "id").alias("id"), "other", "cos", "place")
-    return across.where(asks).unionByName(inside)
+    across = every(ranked).join(dealt.withColumnRenamed("rep", "id"), ["id", "part"], "left").where("size IS NULL OR copy IS NOT NULL")  # a part may be empty
+    across = across.select(F.coalesce("copy", "id").alias("id"), "other", "cos", "place")
+    return across.unionByName(inside).where(asks)
 
 
 def collection(code: DataFrame, chunks: DataFrame) -> DataFrame:

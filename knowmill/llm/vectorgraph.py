@@ -11,6 +11,8 @@ import numpy as np
 
 NONE = np.float32(-9)  # below any cosine: no such candidate
 BLOCK = 256  # queries in step: few enough for their state to stay in the cache
+SEEDS = 10  # entries from which a query begins
+ENTRIES = 16  # one node in so many is an entry
 
 
 def prune(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -37,25 +39,26 @@ def prune(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int, alpha:
     return ids, kept
 
 
-def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int, width: int = 5, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Of each query the ``beam`` best nodes met and their cosines, in no order. ``own``: a node, or -1, from which
-    the query begins beside the entries."""
+def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int, width: int = 3, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query the ``beam`` best nodes met and their cosines, in no order. A query begins at the ``SEEDS``
+    entries nearest to it and, where ``own`` names one (else -1), at that node. Each step expands its ``width``
+    best nodes that weren't yet; it ends when none of its best is left to expand."""
     n, b = len(x), len(queries)
     ids, sims = np.full((b, beam), -1, np.int32), np.full((b, beam), NONE, np.float32)
     done = np.ones((b, beam), bool)
-    met = np.zeros((b, n + 1), bool)
-    met[:, n] = True
+    met = np.zeros((b, n + 1), np.uint16)
+    met[:, n] = 1
     every = np.arange(b)[:, None]
     first = queries @ x[entries].T
-    k = min(beam - (own is not None), len(entries))
+    k = min(beam - (own is not None), len(entries), SEEDS)
     at = np.argpartition(-first, k - 1, axis=1)[:, :k]
     ids[:, :k], sims[:, :k], done[:, :k] = entries[at], first[every, at], False
-    met[:, entries] = True
+    met[every, entries[at]] = 1
     if own is not None:
         rows = np.flatnonzero(own >= 0)
+        rows = rows[met[rows, own[rows]] == 0]
         mine = own[rows]
-        rows, mine = rows[~met[rows, mine]], mine[~met[rows, mine]]
-        met[rows, mine] = True
+        met[rows, mine] = 1
         ids[rows, -1], sims[rows, -1], done[rows, -1] = mine, np.einsum("bd,bd->b", queries[rows], x[mine]), False
     active = np.arange(b)
     width = min(width, beam)
@@ -71,20 +74,20 @@ def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.nd
         done[rows, pick] = True
         nodes = edges[np.where(live, ids[rows, pick], 0)]
         nodes = np.where(live[:, :, None] & (nodes >= 0), nodes, n).reshape(len(active), -1)
-        nodes[met[rows, nodes]] = n
-        met[rows, nodes] = True
-        nodes.sort(axis=1)
-        nodes[:, 1:][nodes[:, 1:] == nodes[:, :-1]] = n
-        used = np.flatnonzero((nodes < n).any(0))
-        if not len(used):
+        r, c = np.nonzero(met[rows, nodes] == 0)
+        if not len(r):
             continue
-        nodes = nodes[:, : used[-1] + 1]
-        cos = np.matmul(x[np.minimum(nodes, n - 1)], queries[active][:, :, None])[:, :, 0]
-        none = nodes == n
-        cos[none] = NONE
-        all_ids = np.concatenate([ids[active], nodes.astype(np.int32)], 1)
-        all_sims = np.concatenate([sims[active], cos], 1)
-        all_done = np.concatenate([done[active], none], 1)
+        # a node that two expanded ones point to counts once: the place written last stands
+        new, mark = nodes[r, c], (c + 1).astype(np.uint16)
+        met[active[r], new] = mark
+        last = met[active[r], new] == mark
+        r, new = r[last], new[last]
+        count = np.bincount(r, minlength=len(active))
+        slot = beam + np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+        size = (len(active), beam + count.max())
+        all_ids, all_sims, all_done = np.full(size, -1, np.int32), np.full(size, NONE, np.float32), np.ones(size, bool)
+        all_ids[:, :beam], all_sims[:, :beam], all_done[:, :beam] = ids[active], sims[active], done[active]
+        all_ids[r, slot], all_sims[r, slot], all_done[r, slot] = new, np.einsum("nd,nd->n", x[new], queries[active[r]]), False
         top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         ids[active], sims[active], done[active] = (np.take_along_axis(v, top, 1) for v in (all_ids, all_sims, all_done))
     return ids, sims
@@ -93,13 +96,13 @@ def search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.nd
 class Graph:
     """``x``: unit vectors, a row each. Nodes are inserted in batches of at most the size there is."""
 
-    def __init__(self, x: np.ndarray, degree: int = 24, beam: int = 48, alpha: float = 1.2, batch: int = 1024, core: int = 256, seed: int = 0):
+    def __init__(self, x: np.ndarray, degree: int = 24, beam: int = 28, alpha: float = 1.2, batch: int = 1024, core: int = 256, seed: int = 0):
         n = len(x)
         self.order = np.random.default_rng(seed).permutation(n)
         self.place = np.empty(n, np.int64)
         self.place[self.order] = np.arange(n)
         self.x = x = np.ascontiguousarray(x[self.order])
-        self.entries = np.arange(min(16, n))
+        self.entries = np.arange(min(n, max(16, n // ENTRIES)))
         edges, sims = np.full((n, degree), -1, np.int32), np.full((n, degree), NONE, np.float32)
         c = min(core, n)
         if c > 1:  # the core is searched whole
@@ -111,7 +114,7 @@ class Graph:
         at = c
         while at < n:
             new = np.arange(at, min(n, at + min(batch, at)))
-            found = [search(x[:at], edges[:at], x[new[a : a + BLOCK]], self.entries, beam) for a in range(0, len(new), BLOCK)]
+            found = [search(x[:at], edges[:at], x[new[a : a + BLOCK]], self.entries[:at], beam) for a in range(0, len(new), BLOCK)]
             cand, cos = (np.concatenate(v) for v in zip(*found))
             edges[new], sims[new] = prune(x, cand, cos, degree, alpha)
             self._link_back(edges, sims, new, degree, alpha)
