@@ -2,7 +2,7 @@
 
 1. Cells: spherical k-means on a bounded sample (``SAMPLE`` vectors at most); neighbouring cells are
    put together to shards of about ``SHARD`` vectors.
-2. Equal unit vectors are one class (pre-aggregated group by the vector's bytes); only one of each
+2. Equal vectors are one class (pre-aggregated group by a hash of 128 bits); only one of each
    goes on, and at most k + 1 members of a class, the first by id, take part as neighbours.
 3. Routes: every vector is a member of its nearest cell's shard, and a query to the shards of those of its
    ``PROBES`` nearest cells whose centre is less similar by ``MARGIN`` at most than the nearest one's
@@ -42,25 +42,18 @@ PIECE = 3
 CELLS_A_SHARD, PROBES, MARGIN = 16, 16, 0.12
 TASKS = 10_000
 CELLS, SAMPLE = 16_384, 131_072
-DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 28, 18, 1.2
+DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 30, 20, 1.2
 #: A class is heavy if it holds more than one in so many of all copies; also the bound of the broadcast rows.
 HEAVY_SHARE = 1000
 
 
-def unit_vectors(rows: DataFrame, dim: int = DIM) -> DataFrame:
-    """(id, vector) -> (id, v): usable vectors at length 1, as bytes of float32."""
-
-    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            most = np.abs(x).max(axis=1, initial=0)  # a null is read as NaN
-            usable = np.isfinite(most) & (most > 0)
-            x = x[usable] / most[usable, None]
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32) + np.float32(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(usable)), _packed(x)], ["id", "v"])
-
-    long = F.coalesce(F.size("vector"), F.lit(-1)) == dim
-    return rows.where(long).select("id", "vector").mapInArrow(scale, "id string, v binary")
+def unit_vectors(column: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the vectors (lists of ``dim`` numbers) are usable, and those at length 1."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    most = np.abs(x).max(axis=1, initial=0)  # a null is read as NaN
+    usable = np.isfinite(most) & (most > 0)
+    x = x[usable] / most[usable, None]
+    return usable, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
 def _packed(x: np.ndarray) -> pa.Array:
@@ -130,16 +123,18 @@ def nearest_vectors(
     hash is divisible by it are queries (all are indexed).
     """
     spark = rows.sparkSession
-    rows = rows.select("id", "vector")
-    total = rows.count()
+    # 128 bits stand for the vector
+    long = rows.where(F.coalesce(F.size("vector"), F.lit(-1)) == dim).select("id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
+    total = long.count()
     if total == 0:
         return spark.createDataFrame([], "id string, other string, cos double, place int")
     shards = max(1, math.ceil(total / shard))
     cells = min(CELLS, shards * CELLS_A_SHARD)
     size = min(SAMPLE, max(1000, 32 * cells))
     # at most SAMPLE vectors, for the centres only
-    sample = unit_vectors(rows.sample(min(1.0, 0.95 * size / total), seed=7).limit(size), dim).select("v").collect()
-    points = np.unique(np.frombuffer(b"".join(r["v"] for r in sample), np.float32).reshape(-1, dim), axis=0) if sample else np.ones((1, dim), np.float32)
+    sample = [r["vector"] for r in long.select("vector").sample(min(1.0, 0.95 * size / total), seed=7).limit(size).collect()]
+    points = np.unique(unit_vectors(pa.array(sample, pa.list_(pa.float32())), dim)[1], axis=0) if sample else np.empty((0, dim), np.float32)
+    points = points if len(points) else np.ones((1, dim), np.float32)
     centres, weight = fit_cells(points, min(cells, len(points)))
     held = spark.sparkContext.broadcast((centres, group_cells(centres, weight, shards)))
     everywhere = probes is None
@@ -147,7 +142,8 @@ def nearest_vectors(
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, shard_of = held.value
         for batch in batches:
-            near, cos = _nearest(_unpacked(batch.column(0), dim), c, 1 if everywhere else probes)
+            usable, x = unit_vectors(batch.column(0), dim)
+            near, cos = _nearest(x, c, 1 if everywhere else probes)
             near = shard_of[near]
             home = near[:, 0].copy()
             near[cos < cos[:, :1] - MARGIN] = -1
@@ -156,12 +152,15 @@ def nearest_vectors(
             fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
             offsets = np.r_[0, np.cumsum(fresh.sum(1))].astype(np.int32)
             asked = pa.ListArray.from_arrays(pa.array(offsets), pa.array(near[fresh].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2, 3, 0)), pa.array(home.astype(np.int32)), asked], ["id", "last", "is_query", "v", "home", "asked"])
+            rest = batch.select([1, 2, 3]).filter(pa.array(usable))
+            yield pa.RecordBatch.from_arrays([*rest.columns, _packed(x), pa.array(home.astype(np.int32)), asked], ["id", "last", "is_query", "v", "home", "asked"])
 
-    unit = unit_vectors(rows, dim)
     asks = F.pmod(F.xxhash64("id"), F.lit(query_share)) == 0
-    classes = unit.groupBy("v").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.max(asks).alias("is_query"))
-    routed = cut(classes.select("v", "id", "last", "is_query").mapInArrow(route, "id string, last string, is_query boolean, v binary, home int, asked array<int>"), "vector-routes")
+    repeats = cut(long.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n"), "vector-repeats")
+    # a vector that stands once isn't shuffled for this
+    once = long.join(repeats, ["h1", "h2"], "left_anti").select("vector", "id", F.col("id").alias("last"), asks.alias("is_query"))
+    several = long.join(repeats.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("vector").alias("vector"), F.min("id").alias("id"), F.max("id").alias("last"), F.max(asks).alias("is_query")).drop("h1", "h2")
+    routed = cut(once.unionByName(several).mapInArrow(route, "id string, last string, is_query boolean, v binary, home int, asked array<int>"), "vector-routes")
     # sizes of the shards: at most CELLS rows
     members = dict(routed.groupBy("home").count().collect())
     asked = routed.where("is_query")
@@ -211,18 +210,17 @@ def nearest_vectors(
     each = met.repartition("id").select("id", F.explode(F.arrays_zip("others", "cos")).alias("x")).select("id", F.col("x.others").alias("other"), F.col("x.cos").cast("double").alias("cos"))
     ranked = W.partitionBy("id").orderBy(F.desc("cos"), "other")
     found = each.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
-    return _with_copies(unit, routed, found, k, query_share).where(F.col("cos") >= min_cos)
+    classes = repeats.where("rep <> last").join(routed.where("id <> last").select(F.col("id").alias("rep")), "rep", "left_semi")
+    return _with_copies(long.select("id", "h1", "h2"), classes, found, k, query_share).where(F.col("cos") >= min_cos)
 
 
-def _with_copies(unit: DataFrame, classes: DataFrame, found: DataFrame, k: int, query_share: int) -> DataFrame:
+def _with_copies(rows: DataFrame, classes: DataFrame, found: DataFrame, k: int, query_share: int) -> DataFrame:
     """Neighbours of all members of the classes, from those of the classes' first members.
 
     A class is named by its first member. The members of a heavy class are dealt to as many parts as it
     holds thousandths of all copies, and what each member gets, at most 2 k + 1 neighbours, goes to every part.
     """
-    mark = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]  # 128 bits stand for the vector
-    several = cut(classes.where("id <> last").select(F.col("id").alias("rep"), *mark), "vector-classes")
-    members = cut(unit.select("id", *mark).join(several, ["h1", "h2"]).select("rep", "id").distinct(), "vector-copies")
+    members = cut(rows.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "id").distinct(), "vector-copies")
     sizes = members.groupBy("rep").agg(F.count("*").alias("size"))
     first = members.withColumn("n", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1)  # limited before the shuffle
     parts = F.ceil(F.col("size") * HEAVY_SHARE / F.lit(max(1, members.count()))).cast("int")  # 1 unless heavy

@@ -11,7 +11,7 @@ import numpy as np
 
 NONE = np.float32(-9)  # below any cosine: no such candidate
 BLOCK = 256  # queries in step: few enough for their state to stay in the cache
-SEEDS = 10  # entries from which a query begins
+SEEDS = 12  # entries from which a query begins
 ENTRIES = 16  # one node in so many is an entry
 
 
