@@ -50,8 +50,8 @@ def snippet(text: Column, query: str, tokens: int = 150) -> Column:
 
 
 def first_heading(text: Column) -> Column:
-    """The first Markdown heading, or ''."""
-    return F.regexp_extract(text, r"(?m)^#{1,6}\s+(.+)$", 1)
+    """The first Markdown heading without outer white space, or ''."""
+    return F.trim(F.regexp_extract(text, r"(?m)^#{1,6}\s+([^\r\n]+)", 1))
 
 
 def line_count(text: Column) -> Column:

@@ -1,36 +1,10 @@
-"""Symbols and import edges of source files, as lines, patterns and windows.
-
-A symbol is a line that a language's pattern knows; it ends before the next line of the same or
-less indentation that isn't blank or closing. This is approximate where a definition spans lines.
-"""
+"""Languages of source files, and edges between files from their imports."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Definition lines by language as (symbol type, pattern with the name as its group).
-SYMBOLS = {
-    "python": [("class", r"^\s*class\s+(\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(\w+)")],
-    "typescript": [
-        ("interface", r"^\s*(?:export\s+)?(?:default\s+)?interface\s+(\w+)"),
-        ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"),
-        ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)"),
-        ("type_alias", r"^\s*(?:export\s+)?type\s+(\w+)"),
-        ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(\w+)"),
-        ("function", r"^\s*(?:export\s+)?const\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?\([^)]*\)[^=]*=>"),
-        ("constant", r"^(?:export\s+)?const\s+(\w+)"),
-    ],
-    "rust": [
-        ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)"),
-        ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"),
-        ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"),
-        ("trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"),
-        ("impl", r"^\s*impl(?:<[^>]*>)?\s+([\w:<>, ]+?)\s*(?:where|\{|$)"),
-        ("type_alias", r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+(\w+)"),
-        ("constant", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(\w+)\s*:"),
-    ],
-}
 #: Fixed value: names of test files.
 TEST_NAME = r"\.(test|spec)\.|^test_|_test\."
 LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "rs": "rust"}
@@ -42,29 +16,6 @@ def language_of(path: Column) -> Column:
     return known[F.regexp_extract(path, r"\.([^./]+)$", 1)]
 
 
-def _marked(line: Column, n: Column, language: Column) -> Column:
-    """What a line is: its number, indentation, whether it only closes, and the symbol it defines."""
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for known, rules in SYMBOLS.items():
-        for symbol, pattern in reversed(rules):
-            hit = (language == known) & line.rlike(pattern)
-            kind, name = F.when(hit, symbol).otherwise(kind), F.when(hit, F.regexp_extract(line, pattern, 1)).otherwise(name)
-    indent = F.char_length(F.regexp_extract(line, r"^([ \t]*)", 1))
-    return F.struct((n + 1).alias("n"), indent.alias("indent"), line.rlike(r"^\s*[\]})]+[;,)]*\s*$").alias("closes"), kind.alias("symbol_type"), name.alias("symbol_name"), (F.trim(line) != "").alias("solid"))
-
-
-def symbols(files: DataFrame, key: str, path: str, text: str = "content") -> DataFrame:
-    """(key, language, symbol_type, symbol_name, start_line, end_line) of every definition line; a projection, without a shuffle."""
-    rows = files.select(key, language_of(F.col(path)).alias("language"), F.split(F.col(text), "\n").alias("lines")).where("language IS NOT NULL")
-    lines = F.filter(F.transform("lines", lambda x, i: _marked(F.rtrim(x), i, F.col("language"))), lambda x: x["solid"])
-    each = rows.select(key, "language", lines.alias("ls")).select(key, "language", "ls", F.posexplode("ls").alias("i", "s")).where("s.symbol_type IS NOT NULL")
-    after = F.filter(F.slice("ls", F.col("i") + 2, F.size("ls")), lambda x: (x["indent"] < F.col("s.indent")) | ((x["indent"] == F.col("s.indent")) & ~x["closes"]))
-    return each.select(
-        key, "language", "s.symbol_type", "s.symbol_name", F.col("s.n").alias("start_line"),
-        F.coalesce(F.get(after, F.lit(0))["n"] - 1, F.element_at("ls", -1)["n"]).alias("end_line"),
-    )
-
-
 def _folder(path: Column) -> Column:
     return F.array_join(F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1), "/")
 
@@ -86,7 +37,7 @@ def import_candidates(imports: DataFrame) -> DataFrame:
     package's root; .py or /__init__.py. Rust: crate:: from src, self:: and super:: from here; the longest
     module path first.
     """
-    here, what = _folder(F.col("file_path")), F.col("import")
+    here, what = _folder(F.replace(F.col("file_path"), F.lit("\\"), F.lit("/"))), F.col("import")
     # TypeScript
     up = F.size(F.regexp_extract_all(what, F.lit(r"(\.\./)"))).cast("int")
     relative = _joined(_climbed(here, up), F.regexp_replace(what, r"^(\.{1,2}/)+", ""))

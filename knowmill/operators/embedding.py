@@ -6,6 +6,8 @@ null text is embedded as an empty one, whose vector is all zeros; repeated texts
 
 from __future__ import annotations
 
+import random
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH, ATTEMPTS = 32, 3
+BATCH, ATTEMPTS, DELAY = 32, 3, 0.5
 
 
 class HashEmbedder:
@@ -32,17 +34,19 @@ class HashEmbedder:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def _with_retries(embed: Callable[[list[str]], np.ndarray], texts: list[str]) -> np.ndarray:
+def _with_retries(embed: Callable[[list[str]], np.ndarray], texts: list[str], delay: float) -> np.ndarray:
+    """Tries again after a lost connection or a time-out, each time after twice the wait and up to a tenth of a second by chance."""
     for attempt in range(ATTEMPTS):
         try:
             return embed(texts)
-        except ConnectionError:
+        except (ConnectionError, TimeoutError):
             if attempt == ATTEMPTS - 1:
                 raise
+            time.sleep(delay * 2**attempt + random.uniform(0, min(0.1, delay)))
     raise AssertionError
 
 
-def embed(rows: DataFrame, text: str, embedder: Callable[[list[str]], np.ndarray], dim: int, cache: DataFrame | None = None) -> DataFrame:
+def embed(rows: DataFrame, text: str, embedder: Callable[[list[str]], np.ndarray], dim: int, cache: DataFrame | None = None, delay: float = DELAY) -> DataFrame:
     """Adds ``vector``. cache: (text_hash, vector) of texts embedded before."""
     hashed = rows.withColumn("text_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     todo = hashed.groupBy("text_hash").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("text"))
@@ -53,7 +57,7 @@ def embed(rows: DataFrame, text: str, embedder: Callable[[list[str]], np.ndarray
         for batch in batches:
             for a in range(0, len(batch), BATCH):
                 part = batch.iloc[a : a + BATCH]
-                vectors = _with_retries(embedder, part["text"].tolist())
+                vectors = _with_retries(embedder, part["text"].tolist(), delay)
                 if vectors.shape != (len(part), dim):
                     raise ValueError(f"vectors of {vectors.shape[-1]} numbers, not {dim}")
                 yield pd.DataFrame({"text_hash": part["text_hash"].tolist(), "vector": list(vectors)})

@@ -6,6 +6,8 @@ no edge, repeated rows of a relationship count once, empty tables give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +17,8 @@ from knowmill.sources.tables import cut, instant, key_of
 #: How near a related document is by the type of its relationship; others come last.
 NEARNESS = {"depends_on": 1, "implements": 1, "references": 2, "related_to": 2, "contradicts": 3, "child_of": 3, "supersedes": 3}
 LAST = 99
+#: Hops of a round between two written tables.
+STEPS = 3
 
 
 def edges(relationships: DataFrame) -> DataFrame:
@@ -74,20 +78,59 @@ def blocked_tasks(e: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def cyclic_nodes(e: DataFrame) -> DataFrame:
-    """(node): the nodes on a directed cycle or on a way between two, by peeling off nodes without edges in or out.
+    """(node): the nodes on a directed cycle, that is of strongly connected components of more than one node, or with a self-loop.
 
-    Edges only shrink; each round is cut. A self-loop is a cycle.
+    1. Nodes without an edge in or out are trimmed, ``STEPS`` layers a written round.
+    2. Of what is left every node takes the greatest node that reaches it as its colour; a colour's own node and
+       those of its colour that reach it are one component.
+    3. Components and all edges that leave or enter a colour are taken out, and so on with the rest.
+    Only edges and one row a node are shuffled, never pairs of nodes that reach each other.
     """
-    left = cut(e.select("a", "b").distinct(), "cycle-edges")
+    every = cut(e.select("a", "b").distinct(), "cycle-edges")
+    loops = every.where("a = b").select(F.col("a").alias("node"))
+    found, left = [loops], _trimmed(every.where("a <> b"))
+    while left.limit(1).count():
+        colour = _spread(left, left.select(F.col("a").alias("node")).distinct().withColumn("c", F.col("node")))
+        # edges inside a colour, and their nodes that reach the colour's own one
+        inner = left.join(colour.select(F.col("node").alias("a"), "c"), "a").join(colour.select(F.col("node").alias("b"), F.col("c").alias("d")), "b").where("c = d").select("a", "b", "c")
+        inner = cut(inner, "cycle-inner")
+        back = inner.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        part = _spread(back, colour.withColumn("c", F.when(F.col("node") == F.col("c"), F.col("c"))))
+        part = part.where("c IS NOT NULL")
+        several = part.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(part.join(several, "c", "left_semi").select("node"))
+        rest = inner.join(part.select(F.col("node").alias("a")), "a", "left_anti").join(part.select(F.col("node").alias("b")), "b", "left_anti")
+        left = _trimmed(rest.select("a", "b"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges that are left when nodes without an edge in or without one out are taken off, again and again."""
+    left = cut(edges, "cycle-edges")
     n = left.count()
     while n:
-        ends = left.select(F.col("b").alias("a")).distinct()
-        starts = left.select(F.col("a").alias("b")).distinct()
-        less = cut(left.join(ends, "a", "left_semi").join(starts, "b", "left_semi").select("a", "b"), "cycle-edges")
-        before, n, left = n, less.count(), less
+        less = left
+        for _ in range(STEPS):
+            less = less.join(less.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(less.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        left = cut(less, "cycle-edges")
+        before, n = n, left.count()
         if n == before:
             break
-    return left.select(F.col("a").alias("node")).distinct()
+    return left
+
+
+def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """(node, c): the greatest c among each node and all that reach it along the edges (a, b)."""
+    now = cut(colour.select("node", "c"), "cycle-colours")
+    while True:
+        less = now
+        for _ in range(STEPS):
+            sent = edges.join(less.select(F.col("node").alias("a"), "c"), "a").groupBy(F.col("b").alias("node")).agg(F.max("c").alias("s"))
+            less = less.join(sent, "node", "left").select("node", F.greatest("c", "s").alias("c"))
+        then = cut(less.select("node", "c"), "cycle-colours")
+        if not then.join(now.withColumnRenamed("c", "was"), "node").where(~F.col("c").eqNullSafe(F.col("was"))).limit(1).count():
+            return then
+        now = then
 
 
 def new_edges(e: DataFrame, proposed: DataFrame, both_ways: bool = False) -> DataFrame:

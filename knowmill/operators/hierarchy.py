@@ -44,7 +44,7 @@ def node_rows(df: DataFrame, src: str, node_id: str, parent_id: str, rank: Colum
 def linked(nodes: DataFrame) -> DataFrame:
     """(src, k, id, parent): the parent is null where the table has no such node."""
     there = nodes.select("src", F.col("k").alias("p"), F.lit(True).alias("there"))
-    return nodes.join(there, ["src", "p"], "left").select("src", "k", "id", F.when(F.col("there"), F.col("p")).alias("parent"))
+    return nodes.join(there, ["src", "p"], "left").select("src", "k", "id", F.when(F.col("there"), F.col("p")).alias("parent"), *[c for c in nodes.columns if c == "at"])
 
 
 def _upward(nodes: DataFrame, measures: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -87,19 +87,24 @@ def subtree_sums(nodes: DataFrame, measures: list[str]) -> DataFrame:
 
 
 def _offsets(tree: DataFrame) -> DataFrame:
-    """Adds ``off``: how far right of its parent's left end a node's range begins (0 of a root)."""
-    kids = tree.where("parent IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(BUCKETS)))
+    """Adds ``off``: how far right of its parent's left end a node's range begins (0 of a root). Siblings stand in the
+    order of ``at`` where there is such a column, then of their key; the buckets are days of it, else hashes."""
+    timed = "at" in tree.columns
+    kids = tree.where("parent IS NOT NULL").withColumn("bucket", F.coalesce(F.expr("unix_seconds(at) div 86400"), F.lit(-(2**62))) if timed else F.pmod(F.xxhash64("k"), F.lit(BUCKETS)))
     before = W.rowsBetween(W.unboundedPreceding, -1)
     sums = kids.groupBy("src", "parent", "bucket").agg(F.sum("size").alias("held"))
     starts = sums.select("src", "parent", "bucket", F.coalesce(F.sum("held").over(before.partitionBy("src", "parent").orderBy("bucket")), F.lit(0)).alias("start"))
-    inner = F.coalesce(F.sum("size").over(before.partitionBy("src", "parent", "bucket").orderBy("k")), F.lit(0))
+    inner = F.coalesce(F.sum("size").over(before.partitionBy("src", "parent", "bucket").orderBy(*(["at"] if timed else []), "k")), F.lit(0))
     placed = kids.withColumn("inner", inner).join(starts, ["src", "parent", "bucket"])
     roots = tree.where("parent IS NULL").withColumn("off", F.lit(0).cast("bigint"))
     return placed.select(*tree.columns, (1 + F.col("start") + F.col("inner")).alias("off")).unionByName(roots)
 
 
 def nested_sets(nodes: DataFrame) -> DataFrame:
-    """(src, k, id, parent, root, top, depth, path, lft, rgt) of every node, top being the root's id; root, top, path, lft and rgt are null in or below a ring."""
+    """(src, k, id, parent, root, top, depth, path, lft, rgt) of every node, top being the root's id; root, top, path, lft and rgt are null in or below a ring.
+
+    nodes: (src, k, id, p), and ``at`` where siblings have an order in time.
+    """
     all_nodes = cut(linked(nodes).withColumn("size", F.lit(1).cast("bigint")), "tree-nodes")
     trees, sums = _upward(all_nodes, ["size"])
     whole = all_nodes.drop("size").join(trees, ["src", "k"], "left").join(sums, ["src", "k"])
@@ -120,10 +125,52 @@ def nested_sets(nodes: DataFrame) -> DataFrame:
 
 
 def descendants_of(sets: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(src, ancestor, k, depth) of all nodes below the chosen (src, k): a range condition inside a tree."""
-    a = sets.join(chosen.select("src", "k").distinct(), ["src", "k"], "left_semi").select("src", "root", F.col("k").alias("ancestor"), F.col("lft").alias("a_l"), F.col("rgt").alias("a_r"))
-    b = sets.where("lft IS NOT NULL")
-    return b.join(a, ["src", "root"]).where("lft > a_l AND lft <= a_r").select("src", "ancestor", "k", "depth")
+    """(src, ancestor, k, depth) of all nodes below the chosen (src, k): left ends inside the chosen one's range.
+
+    A range is cut into at most two pieces of each power of two, a left end lies in one block of each, and pieces and
+    blocks meet by equality. A block of a piece lies wholly in the range, so the join makes no row that isn't a
+    result, however large the tree.
+    """
+    levels = int(sets.agg(F.max("rgt")).first()[0] or 0).bit_length() + 1
+    a = sets.where("rgt > lft").join(chosen.select("src", "k").distinct(), ["src", "k"], "left_semi")
+    none = F.expr("cast(array() as array<struct<level:int,block:bigint>>)")
+    piece = lambda b, block, odd: F.when(odd, F.array(F.struct(b.alias("level"), block.alias("block")))).otherwise(none)
+
+    def step(acc, b):
+        left, right = acc["l"] % 2 == 1, (acc["r"] % 2 == 1) & (acc["l"] + (acc["l"] % 2) < acc["r"])
+        more = F.concat(piece(b, acc["l"], left & (acc["l"] < acc["r"])), piece(b, acc["r"] - 1, right))
+        lo, hi = acc["l"] + (acc["l"] % 2), acc["r"] - (acc["r"] % 2)
+        return F.struct(F.shiftright(lo, 1).alias("l"), F.shiftright(hi, 1).alias("r"), F.concat(acc["p"], more).alias("p"))
+
+    start = F.struct((F.col("lft") + 1).alias("l"), (F.col("rgt") + 1).alias("r"), none.alias("p"))
+    pieces = F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step)["p"]
+    a = a.select("src", "root", F.col("k").alias("ancestor"), F.explode(pieces).alias("x")).select("src", "root", "ancestor", "x.level", "x.block")
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda b: F.struct(b.alias("level"), F.call_function("shiftright", F.col("lft"), b).alias("block")))
+    b = sets.where("lft IS NOT NULL").select("src", "root", "k", "depth", F.explode(blocks).alias("x")).select("src", "root", "k", "depth", "x.level", "x.block")
+    return b.join(a, ["src", "root", "level", "block"]).select("src", "ancestor", "k", "depth")
+
+
+def subtrees(sets: DataFrame, max_depth: int = 5, max_nodes: int = 200) -> DataFrame:
+    """(src, start, k, level, place): of each node's tree the nodes less than ``max_depth`` below it, at most ``max_nodes``
+    level by level, siblings in their order.
+
+    Inside a level that order is the one of the left ends. Ancestors are read off the path (ids without '>'), so that a node gives
+    at most ``max_depth`` rows; places beyond the limit are dropped before the shuffle.
+    """
+    above = F.split(F.lower("path"), ">")
+    up = F.least(F.size(above), F.lit(max_depth))
+    each = sets.where("path IS NOT NULL").select("src", "k", "lft", F.posexplode(F.reverse(F.slice(above, -up, up))).alias("level", "start"))
+    order = W.partitionBy("src", "start").orderBy("level", "lft")
+    return each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_nodes).select("src", "start", "k", "level", "place")
+
+
+def truncations(sets: DataFrame, shown: DataFrame) -> DataFrame:
+    """(src, k, shown, hidden, in_tree): of each node's subtree the nodes ``subtrees`` gives and leaves out, and the nodes of its whole tree."""
+    counts = shown.groupBy("src", F.col("start").alias("k")).agg(F.count("*").alias("shown"))
+    roots = sets.where("k = root").select("src", "root", (F.col("rgt") + 1).alias("in_tree"))
+    held = sets.where("root IS NOT NULL").select("src", "k", "root", (F.col("rgt") - F.col("lft") + 1).alias("size"))
+    both = held.join(counts, ["src", "k"]).join(roots, ["src", "root"])
+    return both.select("src", "k", "shown", (F.col("size") - F.col("shown")).alias("hidden"), "in_tree")
 
 
 def hierarchies(nodes: DataFrame) -> DataFrame:

@@ -5,11 +5,17 @@ Lengths are in code points. A null text is an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowmill.functions.text import first_heading, line_count, token_estimate
-from knowmill.operators.code import TEST_NAME, symbols
+from knowmill.operators.code import TEST_NAME
+from knowmill.operators.packed import WHITE
 
 SIZE, OVERLAP = 2000, 200
 PART, PART_OVERLAP = 200, 20
@@ -41,6 +47,73 @@ def paragraph_chunks(rows: DataFrame, key: list[str], text: str = "content", siz
     return rows.select(*key, F.posexplode(chunks).alias("chunk_index", "content"))
 
 
+#: Which chunker a category of documents goes through; others go through the first.
+STRATEGIES = {
+    "semantic_section": ["plan", "task_spec", "requirement", "technical_context", "architecture_decision", "design_pattern", "research"],
+    "paragraph": ["learning", "change_record", "glossary"],
+    "fixed_size": ["code_pattern", "dependency"],
+}
+#: What Markdown is cut before, the strongest first; in the end single characters.
+MARKS = ["\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "```\n\n", "\n\n***\n\n", "\n\n---\n\n", "\n\n___\n\n", "\n\n", "\n", " "]
+
+
+def strategy(category: Column) -> Column:
+    named = F.create_map(*[F.lit(x) for name, categories in STRATEGIES.items() for c in categories for x in (c, name)])
+    return F.coalesce(named[category], F.lit("semantic_section"))
+
+
+def _packed(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Neighbouring parts joined up to ``size``, the next chunk beginning with the last ones of up to ``overlap``."""
+    out, begin, total = [], 0, 0
+    for i, part in enumerate(parts):
+        if total + len(part) > size and begin < i:
+            out.append("".join(parts[begin:i]))
+            while begin < i and (total > overlap or total + len(part) > size):
+                total -= len(parts[begin])
+                begin += 1
+        total += len(part)
+    return [*out, "".join(parts[begin:])]
+
+
+def sections(text: str, size: int = SIZE, overlap: int = OVERLAP, marks: list[str] = MARKS) -> list[str]:
+    """Cut before the first mark that occurs; parts that are still too long before the next ones; short ones packed."""
+    at = next((k for k, m in enumerate(marks) if m in text), None)
+    if at is None:
+        return [c for k in range(0, max(1, len(text) - overlap), size - overlap) if (c := text[k : k + size].strip(WHITE))]
+    out: list[str] = []
+    short: list[str] = []
+    for part in [p for p in re.split(f"(?={re.escape(marks[at])})", text) if p]:
+        if len(part) < size:
+            short.append(part)
+            continue
+        out += _packed(short, size, overlap) + sections(part, size, overlap, marks[at + 1 :])
+        short = []
+    return [c for x in out + _packed(short, size, overlap) if (c := x.strip(WHITE))]
+
+
+def section_chunks(rows: DataFrame, key: list[str], text: str = "content", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Markdown cut at headings, rules, paragraphs, lines and words, in this order; a blank text is one chunk."""
+
+    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([sections(t, size, overlap) or [t] for t in batch])
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    # a text that fits needs no cutting
+    whole = F.array(F.when(F.btrim(body, F.lit(WHITE)) != "", F.btrim(body, F.lit(WHITE))).otherwise(body))
+    short = rows.where(F.char_length(body) < size).select(*key, F.posexplode(whole).alias("chunk_index", "content"))
+    long = rows.where(F.char_length(body) >= size).select(*key, F.posexplode(F.pandas_udf(cut, "array<string>")(body)).alias("chunk_index", "content"))
+    return short.unionByName(long)
+
+
+def document_chunks(rows: DataFrame, key: list[str], category: str = "category", text: str = "content") -> DataFrame:
+    """Every document in the chunks of its category's strategy; one without any has its text as the only one."""
+    of = lambda name: rows.where(strategy(F.col(category)) == name)
+    blank = of("paragraph").where(F.trim(F.coalesce(F.col(text), F.lit(""))) == "").select(*key, F.lit(0).alias("chunk_index"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    parts = [section_chunks(of("semantic_section"), key, text), paragraph_chunks(of("paragraph"), key, text), fixed_chunks(of("fixed_size"), key, text), blank]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def decorated(chunks: DataFrame, title: str = "title") -> DataFrame:
     """Adds the header (first heading, else the title), the prefix line before the content, and token_count."""
     header = F.when(first_heading(F.col("content")) != "", first_heading(F.col("content"))).otherwise(F.col(title))
@@ -59,15 +132,18 @@ def line_parts(rows: DataFrame, key: list[str], text: str = "content", size: int
     return each.select(*key, "part", "parts", (first + 1).alias("first_line"), F.array_join(F.slice("_l", first + 1, F.when(F.col("parts") == 1, F.greatest(F.size("_l"), F.lit(1))).otherwise(size)), "\n").alias("content"))
 
 
-def symbol_parts(files: DataFrame, key: str, path: str, text: str = "content") -> DataFrame:
-    """The symbols of code files, those of more than ``PART`` lines in parts: (key, symbol_type, symbol_name, start_line,
-    part, parts, first_line, last_line, content), lines as in the file."""
-    found = symbols(files, key, path, text).join(files.select(key, F.split(F.col(text), "\n").alias("_f")), key)
-    body = F.array_join(F.slice("_f", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    parts = line_parts(found.select(key, "symbol_type", "symbol_name", "start_line", body.alias("_body")), [key, "symbol_type", "symbol_name", "start_line"], "_body")
-    first = (F.col("start_line") + F.col("first_line") - 1).cast("int")
+def symbol_parts(found: DataFrame, key: str) -> DataFrame:
+    """Symbols, those of more than ``PART`` lines in parts, each with a line before it that says where it stands:
+    (key, path, symbol_type, symbol_name, scope_chain, part, parts, first_line, last_line, content)."""
+    of = [key, "path", "symbol_type", "symbol_name", "scope_chain", "start_line"]
+    parts = line_parts(found.select(*of, F.col("content").alias("_body")), of, "_body")
+    first = F.col("start_line") + F.col("first_line") - 1
     name = F.when(F.col("parts") > 1, F.concat("symbol_name", F.lit(" (part "), "part", F.lit("/"), "parts", F.lit(")"))).otherwise(F.col("symbol_name"))
-    return parts.select(key, "symbol_type", name.alias("symbol_name"), "start_line", "part", "parts", first.alias("first_line"), (first + line_count(F.col("content")) - 1).alias("last_line"), "content")
+    header = F.concat(F.lit("File: "), "path", F.lit(" | "), "symbol_type", F.lit(": "), "scope_chain", F.lit("\n\n"))
+    return parts.select(
+        key, "path", "symbol_type", name.alias("symbol_name"), "scope_chain", "part", "parts", first.cast("int").alias("first_line"),
+        (first + line_count(F.col("content")) - 1).cast("int").alias("last_line"), F.concat(header, "content").alias("content"),
+    )
 
 
 def manifest(files: DataFrame, path: str, text: str) -> DataFrame:

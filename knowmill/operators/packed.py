@@ -1,11 +1,16 @@
 """Several values packed in one field: infer each source's separators, then split with position.
 
 Stage 1 (``separator_scores``) runs over every field in SQL. A candidate separator of a source is
-scored on (a) how consistently it yields more than one piece and (b) how regular the pieces are,
-that is how many have a piece type (letters, digits and marks reduced to classes) that the source
-also uses where no separator has to be guessed: bracketed lists and fields without any candidate.
-Stage 2 (``split_packed``) splits every field by its source's accepted separators, minding quotes,
-brackets and escapes, and explodes the values with their place.
+scored on (a) consistency: how little the number of pieces varies between the fields that hold it
+(1 / (1 + squared coefficient of variation)), and (b) regularity: the share of its pieces that have a
+piece type (letters, digits and marks reduced to classes) which the source also uses where nothing has to be
+guessed, that is in bracketed lists and in fields without any candidate. A piece that still holds
+another candidate, and isn't of such a type, speaks neither for nor against.
+Candidates of at least ``ACCEPT`` are the source's separators. Where a source holds one of the plain marks in fewer
+than ``SMALL`` fields or pieces, it is too small to score that mark and the mark is trusted.
+Stage 2 (``split_packed``) splits every field by its source's separators and explodes the values with
+their place: fields without quotes and brackets in SQL, the others in a small parser that minds quotes,
+brackets and escapes.
 
 Defined results: null, blank and empty-list fields give no row; repeated values keep their places;
 a list whose closing bracket, brace or quote is missing gives the values that are there; rows that
@@ -22,58 +27,61 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
-
-from knowmill.sources.tables import trimmed
 
 #: Marks that may separate values. Space / : . - _ & never do.
 CANDIDATES = [",", ";", "|", "\n", "\t", "\r", "\uff0c", "\u3001", "\uff1b", "\u00b7", "\u2022", "\u00a6", "\uff5c", "\x1f"]
-#: Always trusted when a source is too small to score: the plain list notations.
+#: Trusted where a source holds them too rarely to score: the plain list notations.
 PLAIN = [",", ";", "|", "\n", "\t", "\r"]
-ACCEPT = 0.5
-#: Common piece types kept of a source; a bound of the broadcast, not of the data that is counted.
-TYPES = 200
+ACCEPT, SMALL = 0.5, 30
+#: Fixed value: outer white space of a value, the same set as around keys.
+WHITE = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Stands for a quoted part while separators are scored.
+QUOTED = "\ue000"
 VALUES = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("val", T.StringType())]))
 
 
+def stripped(col: Column) -> Column:
+    return F.btrim(col, F.lit(WHITE))
+
+
 def piece_type(col: Column) -> Column:
     """The piece with runs of letters and digits reduced to one mark each; quotes and outer space dropped."""
-    bare = F.regexp_replace(trimmed(col), "^[\"']|[\"']$", "")
+    bare = F.regexp_replace(stripped(col), "^[\"']|[\"']$", "")
     return F.regexp_replace(F.regexp_replace(bare, r"\p{L}+", "a"), r"(\d|a)[\da]*", "w")
 
 
 def separator_scores(fields: DataFrame) -> DataFrame:
-    """(src, fld, value) -> (src, fld, sep, n, consistency, regularity, score).
+    """(src, fld, value) -> (src, fld, sep, n, decided, consistency, regularity, score, accepted).
 
-    Only counts leave a task (partial aggregation); piece types are counted per source first and
-    the common ones, at most ``TYPES`` a source, are what pieces are held against.
+    Pieces are counted by type before they are shuffled, and so are the types they are held against.
     """
-    bracketed = F.col("v").rlike(r"""^["']?\s*[\[{]""")
     marks = "[" + "".join(re.escape(c) for c in CANDIDATES) + "]"
-    base = fields.select("src", "fld", trimmed(F.col("value")).alias("v")).where("v != ''")
+    base = fields.select("src", "fld", stripped(F.col("value")).alias("v")).where("v != ''")
     # quoted parts don't speak about separators
-    base = base.select("src", "fld", "v", bracketed.alias("b"), F.regexp_replace("v", r"""(?<![^\s,;|])("[^"]*"|'[^']*')""", "q").alias("u"))
-    sure = base.select("src", "fld", F.when(F.col("b"), F.split(F.regexp_replace("v", r"""^[^\[]*\[|[\]}"']+$""", ""), r"""["'\\]+\s*,\s*["'\\]+""")).when(~F.col("u").rlike(marks), F.array("v")).alias("p"))
-    types = (
-        sure.select("src", "fld", F.explode("p").alias("x")).select("src", "fld", piece_type(F.col("x")).alias("t")).where("t != ''")
-        .groupBy("src", "fld", "t").count()
+    base = base.select("src", "fld", "v", F.col("v").rlike(r"""^["']?\s*[\[{]""").alias("b"), F.regexp_replace("v", r"""(?<![^\s,;|])("[^"]*"|'[^']*')""", QUOTED).alias("u"))
+    inner = F.split(F.regexp_replace("v", r"""^[^\[]*\[|[\]}"']+$""", ""), r"""["'\\]+\s*,\s*["'\\]+""")
+    sure = base.select("src", "fld", F.explode(F.when(F.col("b"), inner).when(~F.col("u").rlike(marks), F.array("v"))).alias("x"))
+    known = sure.groupBy("src", "fld", piece_type(F.col("x")).alias("t")).agg(F.lit(True).alias("known"))
+    # of each field and candidate in it: its pieces' types, and once (without a type) their number
+    kept = lambda c: F.filter(F.split("u", re.escape(c)), lambda x: stripped(x) != "")
+    ways = F.array(*[F.when(F.contains(F.col("u"), F.lit(c)), F.struct(F.lit(c).alias("sep"), kept(c).alias("p"))) for c in CANDIDATES])
+    split = base.where(~F.col("b")).select("src", "fld", F.explode(F.array_compact(ways)).alias("w"))
+    entry = lambda t, k: F.struct(t.alias("t"), k.cast("double").alias("k"))
+    none = F.lit(None)
+    each = split.select("src", "fld", "w.sep", F.explode(F.concat(F.transform("w.p", lambda x: entry(piece_type(x), none)), F.array(entry(none.cast("string"), F.size("w.p"))))).alias("e"))
+    counted = each.groupBy("src", "fld", "sep", "e.t").agg(F.count("*").alias("n"), F.sum("e.k").alias("k"), F.sum(F.col("e.k") * F.col("e.k")).alias("k2"))
+    judged = counted.join(known, ["src", "fld", "t"], "left").withColumn("good", (F.col("t") == QUOTED) | F.coalesce("known", F.lit(False)))
+    is_piece = F.col("t").isNotNull()
+    of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    score = judged.groupBy("src", "fld", "sep").agg(
+        of(~is_piece).alias("n"), of(is_piece & (F.col("good") | ~F.col("t").rlike(marks))).alias("decided"), of(is_piece & F.col("good")).alias("good"),
+        F.sum("k").alias("k"), F.sum("k2").alias("k2"),
     )
-    place = F.row_number().over(W.partitionBy("src", "fld").orderBy(F.desc("count"), "t"))
-    common = types.withColumn("place", place).where(F.col("place") <= TYPES).groupBy("src", "fld").agg(F.collect_list("t").alias("types"))
-    free = base.where(~F.col("b"))
-    here = F.filter(F.array(*map(F.lit, CANDIDATES)), lambda c: F.contains(F.col("u"), c))
-    rows = free.select("src", "fld", "u", F.explode(here).alias("sep"))
-    rows = rows.select("src", "fld", "sep", F.filter(F.split("u", F.concat(F.lit(r"\Q"), "sep", F.lit(r"\E"))), lambda x: trimmed(x) != "").alias("p"))
-    counted = rows.join(F.broadcast(common), ["src", "fld"], "left").select(
-        "src", "fld", "sep", F.size("p").alias("k"),
-        F.size(F.filter("p", lambda x: F.array_contains(F.coalesce("types", F.array().cast("array<string>")), piece_type(x)) | x.rlike(marks) | (trimmed(x) == "q"))).alias("good"),
-    )
-    score = counted.groupBy("src", "fld", "sep").agg(
-        F.count("*").alias("n"),
-        F.avg((F.col("k") > 0).cast("double")).alias("consistency"),
-        (F.sum("good") / F.greatest(F.sum("k"), F.lit(1))).alias("regularity"),
-    )
-    return score.withColumn("score", F.col("consistency") * F.col("regularity"))
+    score = score.withColumn("consistency", F.when(F.col("k2") > 0, F.col("k") * F.col("k") / (F.col("n") * F.col("k2"))).otherwise(0.0))
+    score = score.withColumn("regularity", F.when(F.col("decided") > 0, F.col("good") / F.col("decided")).otherwise(0.0))
+    score = score.withColumn("score", F.col("consistency") * F.col("regularity"))
+    rare = F.col("sep").isin(PLAIN) & (F.least("n", "decided") < SMALL)
+    return score.select("src", "fld", "sep", "n", "decided", "consistency", "regularity", "score", ((F.col("score") >= ACCEPT) | rare).alias("accepted"))
 
 
 def _unescape(text: str) -> str:
@@ -144,7 +152,7 @@ def _delimited(text: str, seps: str) -> list[str]:
 
 def parse_field(text: str | None, seps: str) -> list[str]:
     """The values of one field, in order, without outer white space; no blank ones."""
-    text = (text or "").strip()
+    text = (text or "").strip(WHITE)
     if m := re.match(r"""(["'])\s*[\[{]""", text):  # a list wrapped in a string
         try:
             inner = json.loads(text)
@@ -161,25 +169,26 @@ def parse_field(text: str | None, seps: str) -> list[str]:
         values = _bracketed(text[1:])
     else:
         values = _delimited(text, seps)
-    return [v for x in values if (v := x.strip())]
+    return [v for x in values if (v := x.strip(WHITE))]
 
 
 def split_packed(fields: DataFrame) -> DataFrame:
     """(src, record_id, version, fld, value) -> one row for each value, with ``pos`` from 1 and ``val``."""
-    learned = separator_scores(fields).where((F.col("score") >= ACCEPT) | F.col("sep").isin(PLAIN)).groupBy("src", "fld").agg(F.array_join(F.sort_array(F.collect_set("sep")), "").alias("seps"))
-    plain = "".join(PLAIN)
+    separators = separator_scores(fields).where("accepted").groupBy("src", "fld").agg(F.array_join(F.sort_array(F.collect_set("sep")), "").alias("seps"))
+    # one row a source and field
+    rows = fields.where(stripped(F.col("value")) != "").join(F.broadcast(separators), ["src", "fld"], "left").withColumn("seps", F.coalesce("seps", F.lit("")))
+    plain = ~stripped(F.col("value")).rlike(r"""["'\x1e]|^[\[{]""")
+    split = F.split(F.call_function("translate", F.col("value"), F.col("seps"), F.repeat(F.lit("\x1e"), F.length("seps"))), "\x1e")
+    values = F.filter(F.transform(split, stripped), lambda x: x != "")
+    key = ["src", "record_id", "version", "fld"]
+    simple = rows.where(plain).select(*key, F.posexplode(values).alias("pos", "val")).select(*key, (F.col("pos") + 1).alias("pos"), "val")
 
     def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for values, seps in batches:
-            yield pd.Series([[{"pos": k, "val": x} for k, x in enumerate(parse_field(v, s or plain), 1)] for v, s in zip(values, seps)])
-
-    split = F.pandas_udf(parse, VALUES)
-    # learned: one row a source and field
-    return (
-        fields.where(trimmed(F.col("value")) != "").join(F.broadcast(learned), ["src", "fld"], "left")
-        .select("src", "record_id", "version", "fld", F.explode(split("value", "seps")).alias("x"))
-        .select("src", "record_id", "version", "fld", "x.pos", "x.val")
-    )
+        for texts, seps in batches:
+            yield pd.Series([[{"pos": k, "val": x} for k, x in enumerate(parse_field(v, s), 1)] for v, s in zip(texts, seps)])
+
+    quoted = rows.where(~plain).select(*key, F.explode(F.pandas_udf(parse, VALUES)("value", "seps")).alias("x")).select(*key, "x.pos", "x.val")
+    return simple.unionByName(quoted)
 
 
 def packed_fields(kb: DataFrame, code: DataFrame) -> DataFrame:
@@ -189,5 +198,5 @@ def packed_fields(kb: DataFrame, code: DataFrame) -> DataFrame:
         F.lit("code_chunks").alias("src"), F.col("chunk_id").alias("record_id"), F.lit(0).alias("version"),
         F.explode(F.array(*[F.struct(F.lit(c).alias("fld"), F.col(c).alias("value")) for c in ("imports", "exports")])).alias("x"),
     ).select("src", "record_id", "version", "x.fld", "x.value")
-    once = lambda df: df.where(trimmed(F.col("value")) != "").groupBy("src", "record_id", "version", "fld").agg(F.min("value").alias("value"))
+    once = lambda df: df.where(stripped(F.col("value")) != "").groupBy("src", "record_id", "version", "fld").agg(F.min("value").alias("value"))
     return once(tags).unionByName(once(listed))

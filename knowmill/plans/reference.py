@@ -11,8 +11,9 @@ from knowmill.functions.vector import cosine_distance, distance_score, l2_square
 from knowmill.operators import code as C
 from knowmill.operators import context, graph, hierarchy, ingest, reports
 from knowmill.operators import retrieval as R
+from knowmill.operators import symbols as S
 from knowmill.operators.packed import packed_fields, split_packed
-from knowmill.sources.tables import instant, key_of, table, trimmed
+from knowmill.sources.tables import cut, instant, key_of, table, trimmed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -120,35 +121,64 @@ near AS (SELECT ch.*, {_DIST.format(v="ch.vector", q="q.v")} d FROM ch, q WHERE
 SELECT chunk_id, near.doc_id, kb.title, kb.category, round(greatest(0, least(1, 1 - d / 2)), 6) score FROM near LEFT JOIN kb USING (doc_id) WHERE 1 - d / 2 >= 0.5""")
 def vec_search_documents(spark, folder):
     """Cosine search over active chunks of filtered documents, scored and enriched from the latest version."""
-    kb, chunks = _kb(spark, folder), _chunks(spark, folder)
-    among = R.with_documents(chunks.where("status = 'active'"), kb.where("status <> 'superseded' AND category <> 'change_record'"))
-    found = R.vector_search(among, _first_vector(chunks, "chunk_id"), "chunk_id", 10, 0.5).select("chunk_id", "doc_id", "score")
-    return F.broadcast(found).join(kb.select("doc_id", "title", "category"), "doc_id", "left").select("chunk_id", "doc_id", "title", "category", F.round("score", 6).alias("score"))
+    chunks, kb = table(spark, folder, "doc_chunks"), table(spark, folder, "kb_documents")
+    among = _kb(spark, folder).where("status <> 'superseded' AND category <> 'change_record'")
+    found = R.vector_search(chunks.where("status = 'active'"), _first_vector(chunks, "chunk_id"), "chunk_id", 10, 0.5, keep=("doc_id",), documents=among)
+    # ten rows: only their documents' versions are ranked
+    of = R.current(kb.join(F.broadcast(found.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id", rank=F.col("version")).select("doc_id", "title", "category")
+    return found.join(of, "doc_id", "left").select("chunk_id", "doc_id", "title", "category", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {CO} SELECT chunk_id, file_path, round(greatest(0, least(1, 1 - d / 2)), 6) score FROM (
 SELECT chunk_id, file_path, {_DIST.format(v="vector", q=_ASK_CODE)} d FROM co WHERE symbol_type = 'function' AND len(vector) = 64 AND list_inner_product(vector, vector) > 0 ORDER BY d, chunk_id LIMIT 10)""")
 def vec_search_code(spark, folder):
     """Cosine search over functions."""
-    code = _code(spark, folder)
-    found = R.vector_search(code.where("symbol_type = 'function'"), _first_vector(code, "chunk_id"), "chunk_id", 10)
+    code = table(spark, folder, "code_chunks")
+    found = R.vector_search(code.where("symbol_type = 'function'"), _first_vector(code, "chunk_id"), "chunk_id", 10, keep=("file_path",))
     return found.select("chunk_id", "file_path", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {DE} SELECT a.decision_id, max_by(b.decision_id, (-round(d, 9), b.decision_id)) precedent, round(min(d), 6) distance, bool_or(d <= 0.3) is_precedent
-FROM (SELECT a.decision_id, b.decision_id bid, list_distance(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])) ^ 2 d FROM de a JOIN de b USING (project_id, decision_type) WHERE FALSE) x, de a, de b WHERE FALSE GROUP BY ALL""")
+#: Queries: every decision whose id's hash is divisible by 50 (its last seven hexadecimal digits).
+_ASKS = "CAST('0x' || substr(md5(decision_id), 26, 7) AS BIGINT) % 50 = 0"
+_PAIRS = f"""dv AS (SELECT decision_id, project_id, decision_type, status, vector, CAST(created_at AS TIMESTAMPTZ) t FROM de WHERE len(vector) = 64),
+prs AS (SELECT a.decision_id, b.decision_id AS other, round(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.vector[i] AS DOUBLE) - CAST(b.vector[i] AS DOUBLE)) ** 2)), 9) d
+FROM dv a JOIN dv b ON a.project_id = b.project_id AND a.decision_type = b.decision_type AND b.status = 'active' AND b.t < a.t WHERE {_ASKS.replace("decision_id", "a.decision_id")}),
+near AS (SELECT decision_id, other precedent, d FROM prs QUALIFY row_number() OVER (PARTITION BY decision_id ORDER BY d, other) = 1)"""
+
+
+def _nearest_earlier(spark, folder) -> DataFrame:
+    """(decision_id, precedent, d) of the asking decisions.
+
+    The asking ones are cut into blocks of a project and type, each a row that is broadcast or shuffled to its
+    candidates, so that a hot project's candidates are spread over salted parts and each meets a block at a time.
+    """
+    d = table(spark, folder, "decisions").where(F.size("vector") == 64)
+    d = d.select("decision_id", "project_id", "decision_type", "status", "vector", instant(F.col("created_at")).alias("at"))
+    asks = R.current(d.where(F.conv(F.substring(F.md5("decision_id"), 26, 7), 16, 10).cast("bigint") % 50 == 0), "decision_id")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    asks = asks.select("decision_id", "project_id", "decision_type", "vector", "at", salts.alias("salt"))
+    b = d.where("status = 'active'").select("project_id", "decision_type", F.col("decision_id").alias("other"), F.col("vector").alias("w"), F.col("at").alias("before"), F.pmod(F.xxhash64("decision_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    pairs = asks.join(b, ["project_id", "decision_type", "salt"]).where("before < at").select("decision_id", "other", F.round(l2_squared(F.col("vector"), F.col("w")), 9).alias("d"))
+    # only each salted part's best goes on
+    return pairs.groupBy("decision_id").agg(F.min(F.struct("d", "other")).alias("x")).select("decision_id", F.col("x.other").alias("precedent"), "x.d")
+
+
+#: Parts of one project's and type's decisions.
+SALTS = 16
+
+
+@query(f"WITH {DE}, {_PAIRS} SELECT decision_id, precedent, round(d, 6) distance, greatest(0, least(1, 1 - d / 2)) >= 0.85 is_precedent FROM near")
 def vec_precedents(spark, folder):
-    """Of each decision the nearest earlier active one of its project and type by squared L2, and whether it is near enough to be a precedent."""
-    d = _once(spark, folder, "decisions", "decision_id").where((F.size("vector") == 64)).select("decision_id", "project_id", "decision_type", "status", "vector", instant(F.col("created_at")).alias("at"))
-    b = d.where("status = 'active'").select("project_id", "decision_type", F.col("decision_id").alias("other"), F.col("vector").alias("w"), F.col("at").alias("before"))
-    # queries: every decision whose id's checksum is divisible by 50
-    asks = d.where(F.crc32("decision_id") % 50 == 0)
-    pairs = asks.join(b, ["project_id", "decision_type"]).where("before < at").select("decision_id", "other", l2_squared(F.col("vector"), F.col("w")).alias("d"))
-    best = pairs.groupBy("decision_id").agg(F.min(F.struct(F.round("d", 9).alias("d"), "other")).alias("x"))
-    return best.select("decision_id", F.col("x.other").alias("precedent"), F.round("x.d", 6).alias("distance"), (distance_score(F.col("x.d")) >= 0.85).alias("is_precedent"))
+    """Of each asking decision the nearest earlier active one of its project and type by squared L2, and whether it is near enough to be a precedent."""
+    return _nearest_earlier(spark, folder).select("decision_id", "precedent", F.round("d", 6).alias("distance"), (distance_score(F.col("d")) >= 0.85).alias("is_precedent"))
 
 
-del SQL["vec_precedents"]  # DuckDB has no CRC-32 to choose the same queries; tested against brute force
+@query(f"WITH {DE}, {_PAIRS} SELECT decision_id, coalesce(d <= 0.15, false) has_precedent FROM dv LEFT JOIN near USING (decision_id) WHERE {_ASKS}")
+def vec_write_flags(spark, folder):
+    """The flag that each asking decision gets when it is written: whether an earlier active one lies within 0.15."""
+    d = R.current(table(spark, folder, "decisions").where(F.size("vector") == 64).select("decision_id"), "decision_id")
+    d = d.where(F.conv(F.substring(F.md5("decision_id"), 26, 7), 16, 10).cast("bigint") % 50 == 0)
+    return d.join(_nearest_earlier(spark, folder), "decision_id", "left").select("decision_id", F.coalesce(F.col("d") <= 0.15, F.lit(False)).alias("has_precedent"))
 
 
 # -- words
@@ -173,14 +203,14 @@ _SORTED = sorted(TERMS.split())
 @query(f"""WITH {CH}, {_bm25_sql("ch", _SORTED)} SELECT chunk_id, doc_id, round(bm25, 6) bm25, round(bm25 / (bm25 + 1), 6) score FROM (SELECT * FROM bm WHERE status = 'active' ORDER BY bm25 DESC, chunk_id LIMIT 10) WHERE bm25 / (bm25 + 1) >= 0.3""")
 def fts_documents(spark, folder):
     """BM25 over document chunks; counts are the whole table's, the status filter comes after."""
-    found = R.text_search(_chunks(spark, folder), TERMS, "chunk_id", 10, 0.3, among=F.col("status") == "active")
+    found = R.text_search(table(spark, folder, "doc_chunks"), TERMS, "chunk_id", 10, 0.3, among=F.col("status") == "active", keep=("doc_id",))
     return found.select("chunk_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {CO}, {_bm25_sql("co", _SORTED)} SELECT chunk_id, file_path, round(bm25 / (bm25 + 1), 6) score FROM (SELECT * FROM bm WHERE file_path LIKE 'packages/%.py' ORDER BY bm25 DESC, chunk_id LIMIT 10)""")
 def fts_code(spark, folder):
     """BM25 over code chunks under a glob."""
-    found = R.text_search(_code(spark, folder), TERMS, "chunk_id", 10, among=F.col("file_path").like(T.glob_to_like("packages/**.py")))
+    found = R.text_search(table(spark, folder, "code_chunks"), TERMS, "chunk_id", 10, among=F.col("file_path").like(T.glob_to_like("packages/**.py")), keep=("file_path",))
     return found.select("chunk_id", "file_path", F.round("score", 6).alias("score"))
 
 
@@ -190,6 +220,12 @@ def fts_term_statistics(spark, folder):
     return R.term_statistics(_chunks(spark, folder))
 
 
+@query(f"""WITH {CH}, e AS (SELECT chunk_id, unnest(w) term, unnest(range(1, len(w) + 1)) pos FROM (SELECT chunk_id, {_WORDS.format(t="content")} w FROM ch)) SELECT term, chunk_id, count(*) tf, CAST(min(pos) AS INTEGER) first_pos, CAST(max(pos) AS INTEGER) last_pos FROM e GROUP BY term, chunk_id""")
+def fts_postings(spark, folder):
+    """The postings of every word: how often and from where to where it stands in each chunk."""
+    return R.postings(_chunks(spark, folder), "chunk_id")
+
+
 @query(f"""WITH {CH}, {_bm25_sql("ch", _SORTED)}, q AS (SELECT vector v FROM ch WHERE len(vector) = 64 AND list_inner_product(vector, vector) > 0 ORDER BY chunk_id LIMIT 1),
 near AS (SELECT chunk_id, row_number() OVER (ORDER BY d, chunk_id) - 1 r FROM (SELECT chunk_id, {_DIST.format(v="vector", q="q.v")} d FROM ch, q WHERE status = 'active' AND len(vector) = 64 AND list_inner_product(vector, vector) > 0 ORDER BY d, chunk_id LIMIT 20)),
 word AS (SELECT chunk_id, row_number() OVER (ORDER BY bm25 DESC, chunk_id) - 1 r FROM (SELECT * FROM bm WHERE status = 'active' ORDER BY bm25 DESC, chunk_id LIMIT 20)),
@@ -197,8 +233,8 @@ fused AS (SELECT chunk_id, sum(1 / (60 + r)) score FROM (SELECT * FROM near UNIO
 SELECT chunk_id, doc_id, round(score, 9) score FROM fused JOIN ch USING (chunk_id)""")
 def hyb_documents(spark, folder):
     """Vector and word ranks of document chunks fused."""
-    chunks = _chunks(spark, folder)
-    found = R.hybrid_search(chunks, _first_vector(chunks, "chunk_id"), TERMS, "chunk_id", 10, among=F.col("status") == "active")
+    chunks = table(spark, folder, "doc_chunks")
+    found = R.hybrid_search(chunks, _first_vector(chunks, "chunk_id"), TERMS, "chunk_id", 10, among=F.col("status") == "active", keep=("doc_id",))
     return found.select("chunk_id", "doc_id", F.round("score", 9).alias("score"))
 
 
@@ -208,8 +244,15 @@ fused AS (SELECT chunk_id, sum(1 / (60 + r)) score FROM (SELECT * FROM near UNIO
 SELECT chunk_id, file_path, round(score, 9) score FROM fused JOIN co USING (chunk_id)""")
 def hyb_code(spark, folder):
     """Vector and word ranks of code chunks fused."""
-    code = _code(spark, folder)
-    return R.hybrid_search(code, _first_vector(code, "chunk_id"), TERMS, "chunk_id", 10).select("chunk_id", "file_path", F.round("score", 9).alias("score"))
+    code = table(spark, folder, "code_chunks")
+    return R.hybrid_search(code, _first_vector(code, "chunk_id"), TERMS, "chunk_id", 10, keep=("file_path",)).select("chunk_id", "file_path", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {CH}, {_bm25_sql("ch", _SORTED)} SELECT chunk_id, doc_id, round(bm25 / (bm25 + 1), 6) score FROM (SELECT * FROM bm WHERE status = 'active' ORDER BY bm25 DESC, chunk_id LIMIT 10)""")
+def hyb_without_vector(spark, folder):
+    """The fused search of document chunks where no embedder answers: word ranks alone."""
+    found = R.hybrid_search(table(spark, folder, "doc_chunks"), None, TERMS, "chunk_id", 10, among=F.col("status") == "active", keep=("doc_id",))
+    return found.select("chunk_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {CH}, p AS (SELECT *, instr(lower(content), 'schema') p1, instr(lower(content), 'replica') p2 FROM ch),
@@ -344,10 +387,9 @@ def gr_released_dependents(spark, folder):
 
 
 @query(f"""WITH RECURSIVE {ED}, d AS (SELECT DISTINCT a, b FROM ed WHERE type = 'task_depends_on'),
-fw AS (SELECT a s, b n FROM d UNION SELECT fw.s, d.b FROM fw JOIN d ON d.a = fw.n), cyc AS (SELECT DISTINCT s FROM fw WHERE s = n)
-SELECT s node FROM cyc UNION SELECT x.n FROM fw x JOIN cyc c1 ON c1.s = x.s JOIN fw y ON y.s = x.n JOIN cyc c2 ON c2.s = y.n""")
+fw AS (SELECT a s, b n FROM d UNION SELECT fw.s, d.b FROM fw JOIN d ON d.a = fw.n) SELECT DISTINCT s node FROM fw WHERE s = n""")
 def gr_dependency_cycles(spark, folder):
-    """Tasks on a cycle of dependencies or on a way between two."""
+    """Tasks on a cycle of dependencies."""
     return graph.cyclic_nodes(_edges(spark, folder).where("type = 'task_depends_on'"))
 
 
@@ -411,6 +453,95 @@ def win_siblings(spark, folder):
     return t.withColumn("i", inner).join(starts, ["parent", "day"]).select("task_id", "parent", (F.col("before") + F.col("i")).cast("int").alias("place"))
 
 
+_SUBTREES = """pl AS (SELECT ln.*, row_number() OVER (PARTITION BY parent ORDER BY CAST(created_at AS TIMESTAMPTZ), k) place FROM ln WHERE k IN (SELECT k FROM tr)),
+st AS (SELECT k AS "start", k, 0 AS "level", CAST([] AS BIGINT[]) p FROM pl UNION ALL SELECT st."start", c.k, st."level" + 1, list_append(st.p, c.place) FROM st JOIN pl c ON c.parent = st.k WHERE st."level" < 4),
+sh AS (SELECT "start", k, "level", row_number() OVER (PARTITION BY "start" ORDER BY "level", p) AS "place" FROM st)"""
+
+
+def _sets(spark, folder) -> DataFrame:
+    """The nested sets of all tasks, siblings by creation."""
+    nodes, tasks = _task_tree(spark, folder)
+    at = tasks.select("k", instant(F.col("created_at")).alias("at"))
+    return cut(hierarchy.nested_sets(nodes.select("src", "k", "id", F.col("parent").alias("p")).join(at, "k").select("src", "k", "id", "p", "at")), "task-sets")
+
+
+@query(f"""WITH RECURSIVE {TA}, {_TREE}, {_SUBTREES} SELECT "start", k node, CAST("level" AS INTEGER) AS "level", CAST("place" AS INTEGER) AS "place" FROM sh WHERE "place" <= 200""")
+def gr_subtrees(spark, folder):
+    """Of every task its subtree level by level: five levels and 200 tasks at most, as far as they go."""
+    return hierarchy.subtrees(_sets(spark, folder)).select("start", F.col("k").alias("node"), "level", "place")
+
+
+@query(f"""WITH RECURSIVE {TA}, {_TREE}, {_SUBTREES}, n AS (SELECT anc k, count(*) n FROM pairs GROUP BY anc), c AS (SELECT "start" k, count(*) FILTER ("place" <= 200) shown FROM sh GROUP BY 1), r AS (SELECT k, up[1] root FROM tr)
+SELECT r.k node, shown, n.n - shown AS "hidden", t.n in_tree FROM r JOIN n USING (k) JOIN c USING (k) JOIN n t ON t.k = r.root""")
+def gr_truncations(spark, folder):
+    """How many tasks of each subtree its listing shows and leaves out, and how many the whole tree has."""
+    sets = _sets(spark, folder)
+    return hierarchy.truncations(sets, hierarchy.subtrees(sets)).select(F.col("k").alias("node"), "shown", "hidden", "in_tree")
+
+
+_CHOSEN = "CAST('0x' || substr(md5({k}), 1, 7) AS BIGINT) % 50 = 0"
+
+
+@query(f"""WITH RECURSIVE {TA}, {_TREE} SELECT anc ancestor, k node, CAST(len(up) - 1 AS INTEGER) AS "depth" FROM (SELECT k, up, unnest(up) anc FROM tr) WHERE k <> anc AND {_CHOSEN.format(k="anc")}""")
+def gr_descendants(spark, folder):
+    """All tasks below the tasks whose key's hash is divisible by 50, by their ranges."""
+    sets = _sets(spark, folder)
+    return hierarchy.descendants_of(sets, sets.where(_chosen("k"))).select("ancestor", F.col("k").alias("node"), F.col("depth").cast("int").alias("depth"))
+
+
+def _chosen(key: str):
+    return F.conv(F.substring(F.md5(F.col(key)), 1, 7), 16, 10).cast("bigint") % 50 == 0
+
+
+@query(f"WITH {ED}, p AS (SELECT DISTINCT project_id, type, b a, a b FROM ed WHERE type IN ('related_to', 'references')) SELECT * FROM p ANTI JOIN ed USING (project_id, type, a, b)")
+def set_new_edges(spark, folder):
+    """The reverses of symmetric relationships that don't stand yet."""
+    e = _edges(spark, folder)
+    proposed = e.where("type IN ('related_to', 'references')").select("project_id", "type", F.col("b").alias("a"), F.col("a").alias("b"))
+    return graph.new_edges(e, proposed)
+
+
+@query(f"""WITH {ED}, {TA}, r AS (SELECT k FROM ta WHERE status = 'done'), n AS (SELECT k a, lower(trim(parent_id)) b FROM ta WHERE trim(parent_id) <> '' AND status = 'done')
+SELECT a, b FROM ed WHERE type = 'task_depends_on' AND a NOT IN (SELECT k FROM r) UNION SELECT a, b FROM n""")
+def set_what_if(spark, folder):
+    """The dependencies if those of finished tasks were replaced by one on their parent."""
+    tasks = graph.current_tasks(table(spark, folder, "tasks")).where("status = 'done'")
+    e = _edges(spark, folder).where("type = 'task_depends_on'")
+    return graph.what_if(e, tasks.select(F.col("k").alias("node")), tasks.select(F.col("k").alias("a"), key_of(F.col("parent_id")).alias("b")).where("b IS NOT NULL"))
+
+
+@query(f"""WITH {TA}, {KB}, i AS (SELECT k, unnest(json_extract_string(context_doc_ids, '$[*]')) id FROM ta WHERE json_valid(context_doc_ids)), l AS (SELECT *, lower(trim(id)) d FROM i WHERE trim(id) <> '')
+SELECT ta.task_id, count(DISTINCT d) named, count(DISTINCT lower(trim(kb.doc_id))) FILTER (kb.status <> 'superseded') live FROM l JOIN ta USING (k) LEFT JOIN kb ON lower(trim(kb.doc_id)) = d GROUP BY ta.task_id""")
+def jn_task_context(spark, folder):
+    """The documents that each task names in its JSON list, and how many of them are live; malformed lists name none."""
+    latest = table(spark, folder, "tasks").groupBy(key_of(F.col("task_id")).alias("k")).agg(F.max_by(F.struct("task_id", "context_doc_ids"), instant(F.col("updated_at"))).alias("t"))
+    named = latest.select("t.task_id", F.explode(F.from_json("t.context_doc_ids", "array<string>")).alias("id")).select("task_id", key_of(F.col("id")).alias("d")).where("d IS NOT NULL").distinct()
+    live = _kb(spark, folder).where("status <> 'superseded'").select(key_of(F.col("doc_id")).alias("d"), F.lit(1).alias("live")).distinct()
+    return named.join(live, "d", "left").groupBy("task_id").agg(F.count("*").alias("named"), F.count("live").alias("live"))
+
+
+@query(f"""WITH {AL}, {TA}, m AS (SELECT lower(trim(target_id)) k, arg_max(action, (CAST(created_at AS TIMESTAMPTZ), log_id)) AS "action", arg_max(TRY_CAST(metadata->>'count' AS BIGINT), (CAST(created_at AS TIMESTAMPTZ), log_id)) n
+FROM al WHERE target_type = 'task' AND trim(target_id) <> '' AND TRY_CAST(metadata->>'count' AS BIGINT) IS NOT NULL GROUP BY 1) SELECT task_id, m.action, n FROM ta LEFT JOIN m USING (k)""")
+def jn_task_log(spark, folder):
+    """Each task with the last of its logged JSON objects, looked up by the id they name."""
+    log = _once(spark, folder, "activity_log", "log_id").where("target_type = 'task'")
+    log = log.select(key_of(F.col("target_id")).alias("k"), "action", F.from_json("metadata", "count bigint")["count"].alias("n"), instant(F.col("created_at")).alias("at"), "log_id").where("k IS NOT NULL AND n IS NOT NULL")
+    last = log.groupBy("k").agg(F.max_by(F.struct("action", "n"), F.struct("at", "log_id")).alias("x"))
+    return graph.current_tasks(table(spark, folder, "tasks")).select("k", "task_id").join(last, "k", "left").select("task_id", "x.action", "x.n")
+
+
+@query(f"""WITH {KB}, {CO}, {TA}, i AS (SELECT k, unnest(json_extract_string(context_doc_ids, '$[*]')) id FROM ta WHERE json_valid(context_doc_ids)), q AS (SELECT DISTINCT lower(trim(id)) k FROM i WHERE trim(id) <> ''
+UNION SELECT lower(trim(chunk_id)) FROM co WHERE {_CHOSEN.format(k="chunk_id")})
+SELECT q.k requested, coalesce(co.chunk_id, '') chunk_id FROM q LEFT JOIN co ON lower(trim(co.chunk_id)) = q.k WHERE q.k NOT IN (SELECT lower(trim(doc_id)) FROM kb WHERE status <> 'superseded')""")
+def set_requested_chunks(spark, folder):
+    """Requested ids (those that tasks name, and some chunks') that are no live document, looked up among code chunks."""
+    lists = table(spark, folder, "tasks").groupBy(key_of(F.col("task_id")).alias("k")).agg(F.max_by("context_doc_ids", instant(F.col("updated_at"))).alias("ids"))
+    chunks = table(spark, folder, "code_chunks").select("chunk_id").distinct().select("chunk_id", key_of(F.col("chunk_id")).alias("requested"))
+    asked = lists.select(F.explode(F.from_json("ids", "array<string>")).alias("id")).select(key_of(F.col("id")).alias("requested")).unionByName(chunks.where(_chosen("chunk_id")).select("requested")).where("requested IS NOT NULL").distinct()
+    live = _kb(spark, folder).where("status <> 'superseded'").select(key_of(F.col("doc_id")).alias("requested"))
+    return asked.join(live, "requested", "left_anti").join(chunks, "requested", "left").select("requested", F.coalesce("chunk_id", F.lit("")).alias("chunk_id"))
+
+
 @query(f"""WITH {TA}, t AS (SELECT lower(trim(root_id)) r, * FROM ta) SELECT root.task_id, count(*) tasks, count(*) FILTER (t.status = 'pending') pending, count(*) FILTER (t.status = 'ready') ready,
 count(*) FILTER (t.status = 'in_progress') in_progress, count(*) FILTER (t.status = 'review') review, count(*) FILTER (t.status = 'done') done FROM t JOIN ta root ON root.k = t.r GROUP BY root.task_id""")
 def agg_stage_histogram(spark, folder):
@@ -454,12 +585,28 @@ def txt_fixed_chunks(spark, folder):
     return ingest.fixed_chunks(_kb(spark, folder), ["doc_id"])
 
 
-@query()
+#: Paragraphs folded one by one into chunks, as a recursion over their places.
+_PARAGRAPHS = """pa AS (SELECT doc_id, title, category, string_split_regex(coalesce(content, ''), '\\n\\n+') ps FROM kb),
+pk AS (SELECT doc_id, title, ps, 1 i, ps[1] now, CAST(NULL AS VARCHAR) done, 0 n FROM pa UNION ALL
+SELECT doc_id, title, ps, i + 1, CASE WHEN length(now) + length(ps[i + 1]) + 2 > 2000 AND now <> '' THEN right(now, 200) || chr(10) || chr(10) || ps[i + 1] WHEN now = '' THEN ps[i + 1] ELSE now || chr(10) || chr(10) || ps[i + 1] END,
+CASE WHEN length(now) + length(ps[i + 1]) + 2 > 2000 AND now <> '' THEN now END, n + CASE WHEN length(now) + length(ps[i + 1]) + 2 > 2000 AND now <> '' THEN 1 ELSE 0 END FROM pk WHERE i < len(ps)),
+pc AS (SELECT doc_id, title, n - 1 AS chunk_index, trim(done) AS "content" FROM pk WHERE done IS NOT NULL UNION ALL SELECT doc_id, title, n, trim(now) FROM pk WHERE i = len(ps) AND trim(now) <> ''),
+hd AS (SELECT *, coalesce(nullif(trim(regexp_extract("content", '(?m)^#{1,6}\\s+([^\\r\\n]+)', 1)), ''), title) AS "header" FROM pc),
+fu AS (SELECT doc_id, CAST(chunk_index AS INTEGER) chunk_index, "header", 'Document: ' || title || ' | Section: ' || "header" || chr(10) || chr(10) || "content" full_text FROM hd)"""
+
+
+@query(f"WITH RECURSIVE {KB}, {_PARAGRAPHS} SELECT *, CAST(ceil(length(full_text) / 4) AS INTEGER) token_count FROM fu")
 def txt_paragraph_chunks(spark, folder):
     """Every document in packed paragraphs, with header, prefix and tokens."""
     return ingest.decorated(ingest.paragraph_chunks(_kb(spark, folder), ["doc_id", "title"])).select("doc_id", "chunk_index", "header", "full_text", "token_count")
 
 
+@query()
+def txt_document_chunks(spark, folder):
+    """Every document in the chunks of its category's strategy, with header, prefix and tokens."""
+    return ingest.decorated(ingest.document_chunks(_kb(spark, folder), ["doc_id", "title"])).select("doc_id", "chunk_index", "header", "full_text", "token_count")
+
+
 @query(f"""WITH {KB}, f AS (SELECT doc_id path, coalesce(content, '') c, list_extract(string_split(doc_id, '/'), -1) name FROM kb WHERE category = 'code_file')
 SELECT path, sha256(c) hash, CAST(len(string_split(c, chr(10))) AS INTEGER) lines, regexp_matches(name, '\\.(test|spec)\\.|^test_|_test\\.') is_test, regexp_extract(name, '\\.([^.]+)$', 1) AS "extension" FROM f""")
 def src_manifest(spark, folder):
@@ -480,22 +627,31 @@ def jn_file_changes(spark, folder):
     return ingest.changes(old, hashed(R.current(kb, "doc_id", rank=F.col("version"))))
 
 
-@query()
+@query(f"""WITH {KB}, l AS (SELECT doc_id, string_split(coalesce(content, ''), chr(10)) ls FROM kb WHERE category <> 'code_file'),
+n AS (SELECT *, CASE WHEN len(ls) > 40 THEN CAST(ceil((len(ls) - 4) / 36) AS INTEGER) ELSE 1 END parts FROM l), e AS (SELECT *, unnest(range(1, parts + 1)) part FROM n)
+SELECT doc_id, CAST(part AS INTEGER) part, parts, CAST((part - 1) * 36 + 1 AS INTEGER) first_line, array_to_string(CASE WHEN parts = 1 THEN ls ELSE ls[(part - 1) * 36 + 1:(part - 1) * 36 + 40] END, chr(10)) AS "content" FROM e""")
 def txt_line_parts(spark, folder):
     """Documents of more than 40 lines in overlapping parts."""
     return ingest.line_parts(_kb(spark, folder).where("category <> 'code_file'"), ["doc_id"], size=40, overlap=4)
 
 
+@query()
+def txt_symbols(spark, folder):
+    """The symbols that every code chunk defines, with scope and lines."""
+    return S.symbols(_code(spark, folder), "chunk_id", "file_path").drop("content")
+
+
 @query()
 def txt_symbol_parts(spark, folder):
-    """The symbols that every code chunk defines, those of more than 200 lines in overlapping parts."""
-    return ingest.symbol_parts(_code(spark, folder), "chunk_id", "file_path")
+    """The same with their text behind a line of context, those of more than 200 lines in overlapping parts."""
+    return ingest.symbol_parts(S.symbols(_code(spark, folder), "chunk_id", "file_path"), "chunk_id")
 
 
 @query()
-def txt_symbols(spark, folder):
-    """The symbols that every code chunk defines."""
-    return C.symbols(_code(spark, folder), "chunk_id", "file_path")
+def txt_file_links(spark, folder):
+    """What every code chunk's text imports and exports, a row each, in order."""
+    found = S.outlines(_code(spark, folder), "chunk_id", "file_path").select("chunk_id", F.explode(F.array(*[F.struct(F.lit(c).alias("fld"), F.col(c).alias("v")) for c in ("imports", "exports")])).alias("x"))
+    return found.select("chunk_id", "x.fld", F.posexplode("x.v").alias("pos", "val"))
 
 
 @query()
@@ -548,6 +704,15 @@ def txt_json_maps(spark, folder):
     return parsed.groupBy("key").agg(F.count("*").alias("rows"), F.countDistinct("v").alias("values"))
 
 
+@query(f"""WITH {CO} SELECT chunk_id, file_path, symbol_name FROM co WHERE project_id = (SELECT project_id FROM code_chunks GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AND lower(trim(language)) = 'typescript' AND symbol_type = 'function' AND file_path LIKE '%/src/%' ESCAPE '\\'""")
+def flt_code(spark, folder):
+    """The code chunks of the project that has most, by language, symbol type and glob together."""
+    code = table(spark, folder, "code_chunks")
+    most = code.groupBy("project_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project_id").first()
+    hit = code.where((F.col("project_id") == (most["project_id"] if most else None)) & (F.lower(trimmed(F.col("language"))) == "typescript") & (F.col("symbol_type") == "function") & F.col("file_path").like(T.glob_to_like("**/src/**")))
+    return R.current(hit.select("chunk_id", "file_path", "symbol_name"), "chunk_id")
+
+
 @query(f"""WITH {DE}, p AS (SELECT project_id, tier, tier_name, count(*) n FROM de GROUP BY ALL) SELECT project_id, tier, CASE tier WHEN 0 THEN 'product_strategy' WHEN 1 THEN 'architecture' WHEN 2 THEN 'functional_design' WHEN 3 THEN 'execution' END expected_name, tier_name, n FROM p""")
 def prj_tier_names(spark, folder):
     """Decisions by tier, with the name that belongs to the tier beside the stored one."""

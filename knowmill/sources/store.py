@@ -2,13 +2,14 @@
 
 Every write is one appended batch with a sequence number and an operation (U or D); the current
 state is the last change of each key that isn't a deletion. A single writer is assumed. Batches are
-validated whole before anything is written. ``compact`` writes the current state as a new base.
+validated whole before anything is written.
 """
 
 from __future__ import annotations
 
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +29,11 @@ class Store:
         return f"{self.folder}/{name}"
 
     def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        try:
+            self.spark.read.parquet(self.path(name)).schema
+        except AnalysisException:
+            return False
+        return True
 
     def create(self) -> tuple[int, int]:
         """Makes the missing tables; (created, skipped)."""
@@ -79,6 +83,3 @@ class Store:
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
         )
         self.append("activity_log", row)
-
-    def compact(self, name: str, to: str) -> None:
-        self._log_schema(self.current(name)).write.parquet(to)
