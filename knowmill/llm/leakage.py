@@ -134,24 +134,32 @@ def _overlaps(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
     new = np.r_[True, (np.diff(diagonal) != 0) | (np.diff(ia) != 1)]
     starts = np.flatnonzero(new)
     lengths = np.diff(np.r_[starts, len(ia)])
-    best = (0, 0, 0, 0)
-    # join the runs of a diagonal while at least TOLERANCE of the words between first and last agree
     d, s, n = diagonal[starts], ia[starts], lengths
-    i = 0
-    while i < len(starts):
-        first, agree, last = s[i], n[i], s[i] + n[i]
-        j = i
-        while True:
-            if last - first > best[0]:
-                best = (int(last - first), int(agree), int(first), int(first - d[i]))
-            j += 1
-            if j >= len(starts) or d[j] != d[i] or (agree + n[j]) < TOLERANCE * (s[j] + n[j] - first):
-                break
-            agree, last = agree + n[j], s[j] + n[j]
-        i = j
+    at = int(n.argmax())
+    best = (int(n[at]), int(n[at]), int(s[at]), int(s[at] - d[at]))
+    first = np.flatnonzero(np.r_[True, np.diff(d) != 0])
+    for lo, hi in zip(first, np.r_[first[1:], len(d)]):
+        if hi - lo > 1 and s[hi - 1] + n[hi - 1] - s[lo] > best[0]:
+            best = max(best, _longest(s[lo:hi], n[lo:hi], int(d[lo])), key=lambda x: x[0])
     return int(lengths.max()), *best
 
 
+def _longest(s: np.ndarray, n: np.ndarray, d: int) -> tuple[int, int, int, int]:
+    """The longest overlap on one diagonal: from the beginning of a run to the end of the same or a later one, at least
+    TOLERANCE of the words agreeing. s, n: where the runs begin and how long they are.
+
+    Runs i to j will do if what j adds up to, ``up``, is at least what stands before i, ``low``; so for each j the
+    first i whose running minimum of ``low`` is not above it.
+    """
+    held = np.r_[0, np.cumsum(n)]
+    share = round(TOLERANCE * 1000)
+    low, up = 1000 * held[:-1] - share * s, 1000 * held[1:] - share * (s + n)
+    i = np.searchsorted(-np.minimum.accumulate(low), -up, "left")
+    span = s + n - s[np.minimum(i, len(s) - 1)]
+    j = int(span.argmax())
+    return int(span[j]), int(held[j + 1] - held[i[j]]), int(s[i[j]]), int(s[i[j]] - d)
+
+
 def _verified(texts: pd.DataFrame) -> pd.DataFrame:
     rows = []
     items: dict[int, np.ndarray] = {}

@@ -38,6 +38,8 @@ from knowmill.sources.tables import cut
 
 DEPTH = 3
 SUPPORT = 2
+#: ASCII letters that a twin's key must hold.
+LETTERS = 3
 #: Texts in which a character must stand to belong to the alphabet.
 SEEN = 2
 RUN = re.compile(r"[^\x00-\x7f]+")
@@ -115,8 +117,9 @@ def twin_pairs(docs: DataFrame) -> DataFrame:
         lambda s: s["x"].rlike(_NON_ASCII) & ~s["x"].contains("�") & ~s["x"].contains("`"),
     )
     rows = words.select(F.explode(near).alias("s")).select(strip(F.col("s.x")).alias("x"), strip(F.coalesce("s.a", F.lit(""))).alias("a"), strip(F.coalesce("s.b", F.lit(""))).alias("b"), F.regexp_extract_all("s.x", F.lit(f"({_NON_ASCII}+)")).alias("runs"))
-    alone = F.when(F.length(F.regexp_replace("x", "[^A-Za-z]", "")) >= 3, F.col("x"))
-    keyed = rows.select(F.explode(F.array(alone, F.concat_ws(" ", "a", "x", "b"))).alias("key"), "runs").where("key IS NOT NULL")
+    # without ASCII letters a key says nothing: all words of a text in another script would share it
+    spoken = lambda c: F.when(F.length(F.regexp_replace(c, "[^A-Za-z]", "")) >= LETTERS, c)
+    keyed = rows.select(F.explode(F.array(spoken(F.col("x")), spoken(F.concat_ws(" ", "a", "x", "b")))).alias("key"), "runs").where("key IS NOT NULL")
     variants = keyed.groupBy("key", "runs").agg(F.count("*").alias("n"))
     length = F.char_length(F.array_join("runs", ""))
     clean = variants.groupBy("key").agg(F.min_by("runs", F.struct(length, -F.col("n"))).alias("clean"), F.count("*").alias("k")).where("k > 1").drop("k")

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 LIMIT, OVERLAP = 2000, 200
 #: Fixed value: the line that an earlier splitter put before a chunk's body, and the blank line after it.
@@ -62,32 +63,24 @@ def split_oversized(rows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
         raise ValueError("overlap must be at least 0 and less than the limit")
     # only the few long items are shuffled for the one row a key
     long = rows.where(F.char_length("text") > limit).groupBy("src", "record_id", "version").agg(F.min(F.struct("text", "title")).alias("x"))
-    # as many substitutions of a key's text as needed: the pattern runs once an item
-    parts = long.select("src", "record_id", "version", "x.title", F.regexp_extract_all("x.text", F.lit(part_pattern(limit - overlap)), 0).alias("parts"))
-    first, last = lambda p: F.regexp_extract(p, HEADING, 1), lambda p: F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(p, F.lit(HEADING), 1)), -1)
-    empty = F.expr("array(named_struct('start', 0, 'header', '', 'below', '', 'n', 0))")
-    marks = F.aggregate(
-        "parts", empty,
-        lambda acc, p: F.concat(acc, F.array(F.struct(
-            (F.element_at(acc, -1)["start"] + F.element_at(acc, -1)["n"]).alias("start"),
-            F.when(first(p) != "", first(p)).otherwise(F.element_at(acc, -1)["below"]).alias("header"),
-            F.when(last(p) != "", last(p)).otherwise(F.element_at(acc, -1)["below"]).alias("below"),
-            F.char_length(p).alias("n"),
-        ))),
-    )
-    rows = parts.select("src", "record_id", "version", "title", "parts", marks.alias("marks")).select(
-        "src", "record_id", "version", "title", "parts", F.posexplode(F.slice("marks", 2, F.size("parts"))).alias("i", "m")
-    )
-    tail = F.right(F.get("parts", F.col("i") - 1), F.lit(overlap))
-    from_word = F.regexp_extract(tail, r"(?s)^\S*\s+(\S.*)$", 1)
-    before = F.when((F.col("i") == 0) | (F.lit(overlap) == 0), "").when((from_word != ""), from_word).otherwise(tail)
-    return rows.select(
-        "src", "record_id", "version", F.col("i").alias("chunk_index"),
-        F.coalesce(F.when(F.col("m.header") != "", F.trim("m.header")), "title", F.lit("")).alias("header"),
-        F.col("m.start").alias("start"), before.alias("_b"), F.get("parts", F.col("i")).alias("_p"),
+    key = ["src", "record_id", "version"]
+    # the pattern runs once an item; a row gets its part and the end of the one before, so the work grows with the text
+    parts = long.select(*key, "x.title", F.regexp_extract_all("x.text", F.lit(part_pattern(limit - overlap)), 0).alias("parts"))
+    before = F.concat(F.array(F.lit("")), F.transform("parts", lambda p: F.right(p, F.lit(overlap))))
+    each = parts.select(*key, "title", F.posexplode(F.arrays_zip(F.col("parts").alias("part"), F.slice(before, 1, F.size("parts")).alias("tail"))).alias("i", "x"))
+    each = each.select(*key, "title", "i", "x.part", "x.tail", F.regexp_extract("x.part", HEADING, 1).alias("first"), F.try_element_at(F.regexp_extract_all("x.part", F.lit(HEADING), 1), F.lit(-1)).alias("last"))
+    # the grouping above has brought an item's rows together, so the window shuffles nothing
+    earlier = W.partitionBy(*key).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.char_length("part")).over(earlier), F.lit(0)).cast("int")
+    above = F.last(F.when(F.trim("last") != "", F.col("last")), ignorenulls=True).over(earlier)
+    from_word = F.regexp_extract("tail", r"(?s)^\S*\s+(\S.*)$", 1)
+    repeated = F.when((F.col("i") == 0) | (F.lit(overlap) == 0), "").when(from_word != "", from_word).otherwise(F.col("tail"))
+    return each.select(
+        *key, F.col("i").alias("chunk_index"), F.coalesce(F.trim(F.coalesce(F.when(F.col("first") != "", F.col("first")), above)), "title", F.lit("")).alias("header"),
+        start.alias("start"), repeated.alias("_b"), "part",
     ).select(
-        "src", "record_id", "version", "chunk_index", "header", "start", F.char_length("_b").alias("overlap"),
-        F.concat("_b", "_p").alias("content"), token_estimate(F.concat("_b", "_p")).alias("token_count"),
+        *key, "chunk_index", "header", "start", F.char_length("_b").alias("overlap"),
+        F.concat("_b", "part").alias("content"), token_estimate(F.concat("_b", "part")).alias("token_count"),
     )
 
 

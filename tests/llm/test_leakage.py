@@ -70,6 +70,32 @@ def test_reworked_passages(spark):
     assert (r["run"], r["words"], r["agreeing"], r["doc_word"], r["item_word"]) == (11, 40, 37, 30, 10)
 
 
+def test_the_longest_tolerant_overlap():
+    # runs of 1, 4 and 10 words on one diagonal with gaps of 1 and 3: the last two make 17 words, 14 of them equal
+    b = [f"t{i}" for i in range(19)]
+    a = [w if i == 0 or 2 <= i < 6 or 9 <= i else "no" for i, w in enumerate(b)]
+    assert overlaps(word_codes(a), word_codes(b)) == (10, 17, 14, 2, 2)
+
+
+def longest(a, b):
+    best = 0
+    for d in range(-len(b) + 1, len(a)):
+        same = [a[i] == b[i - d] for i in range(max(0, d), min(len(a), len(b) + d))]
+        for i in range(len(same)):
+            for j in range(i, len(same)):
+                if same[i] and same[j] and sum(same[i : j + 1]) * 5 >= 4 * (j + 1 - i):
+                    best = max(best, j + 1 - i)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_longest_against_brute_force(seed):
+    rng = random.Random(seed)
+    b = [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30))]
+    a = [w if rng.random() < 0.8 else rng.choice("abxyz") for w in b[rng.randrange(len(b)) :] + b]
+    assert overlaps(word_codes(a), word_codes(b))[1] == longest(a, b)
+
+
 def test_overlaps_in_blocks(monkeypatch):
     a, b = word_codes(["x"] * 7 + [f"k{i}" for i in range(50)] + ["y"] * 7), word_codes([f"k{i}" for i in range(50)])
     monkeypatch.setattr(leakage, "BLOCK", 16)

@@ -66,3 +66,11 @@ def test_memo_and_long_text():
     r.MEMO = 3
     text = " ".join(garble(c, "cp1252") for c in "éèêëüö") * 20_000
     assert r.restore(text) == " ".join("éèêëüö") * 20_000
+
+
+def test_clean_texts_in_another_script_make_no_pairs(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("абвгдежзийклмноп") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(300)]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert twin_pairs(rows).count() == 0 and garbled_documents(rows).count() == 0

@@ -47,6 +47,21 @@ def test_strongest_boundary_wins(spark):
     assert all(r["content"].endswith(". ") for r in pieces(spark, [sentences])["r0"][:-1])
 
 
+def test_headers_stand_until_the_next(spark):
+    text = "# One\n" + "a b. " * 60 + "\n## Two\n" + "c d. " * 60
+    rows = pieces(spark, [text])["r0"]
+    place = text.index("## Two")
+    assert {r["header"] for r in rows if r["start"] < place} == {"One"} and {r["header"] for r in rows if r["start"] >= place} == {"Two"}
+
+
+def test_a_very_long_item(spark):
+    text = "Some words of a line. " * 200_000
+    rows = spark.createDataFrame([("s", "r", 1, "T", text, 7, "x")], SCHEMA)
+    got = split_oversized(rows)
+    sums = got.selectExpr("count(*) n", "sum(char_length(content) - overlap) whole", "max(start) last", "max(char_length(content)) longest").first()
+    assert sums["whole"] == len(text) and sums["longest"] <= 2000 and sums["last"] < len(text) and sums["n"] < len(text) / 1500
+
+
 def test_items_and_prefix(spark):
     kb = spark.createDataFrame([("d", 1, "t", "x" * 2001, "e"), ("d", 1, "t", "x" * 2001, "e"), ("e", 1, "t", "x" * 2000, "e"), ("f", 1, "t", None, "e"), ("g", 2, None, "\U0001f680" * 2001, "e")], "doc_id string, version int, title string, content string, record_id string")
     prefix = "Document: a | Section: b\n\n"
