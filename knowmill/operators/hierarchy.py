@@ -55,25 +55,26 @@ def _upward(nodes: DataFrame, measures: list[str]) -> tuple[DataFrame, DataFrame
     nodes it reaches is kept and summed once in the end.
     """
     is_root = F.col("parent").isNull()
-    tree, added = Rounds("tree-up"), Rounds("tree-added")
-    now = tree.put(nodes.select("src", "k", F.col("parent").alias("jump"), F.when(is_root, 0).otherwise(1).alias("depth"), F.when(is_root, F.col("k")).alias("root"), *measures))
+    tree = Rounds("tree-up")
+    state = [F.col("parent").alias("jump"), F.when(is_root, 0).otherwise(1).alias("depth"), F.when(is_root, F.col("k")).alias("root")]
+    now = tree.put(nodes.select("src", "k", *state, *measures, F.lit(False).alias("added")))
     active = now.where("jump IS NOT NULL")
     n, before = active.count(), -1
     while n and n != before:  # depths leave no gap, so a round that finishes none finishes no later one: rings
-        sums = added.put(active.groupBy("src", F.col("jump").alias("k")).agg(*[F.sum(m).alias(m) for m in measures]))
-        above = tree.standing().select("src", F.col("k").alias("jump"), F.col("depth").alias("d2"), F.col("root").alias("r2"), F.col("jump").alias("j2"))
+        sums = active.groupBy("src", F.col("jump").alias("k")).agg(*[F.sum(m).alias(m) for m in measures])
+        above = tree.standing().where("NOT added").select("src", F.col("k").alias("jump"), F.col("depth").alias("d2"), F.col("root").alias("r2"), F.col("jump").alias("j2"))
         more = sums.select("src", "k", *[F.col(m).alias(f"_{m}") for m in measures])
-        now = tree.put(
-            active.join(above, ["src", "jump"]).join(more, ["src", "k"], "left").select(
-                "src", "k", F.col("j2").alias("jump"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("r2").alias("root"),
-                *[(F.col(m) + F.coalesce(f"_{m}", F.lit(0))).alias(m) for m in measures],
-            )
+        moved = active.join(above, ["src", "jump"]).join(more, ["src", "k"], "left").select(
+            "src", "k", F.col("j2").alias("jump"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("r2").alias("root"),
+            *[(F.col(m) + F.coalesce(f"_{m}", F.lit(0))).alias(m) for m in measures], F.lit(False).alias("added"),
         )
+        # one written table a round: the nodes that moved, and what was added to the nodes they had reached
+        kept = sums.select("src", "k", *[F.lit(None).cast(kind).alias(c) for c, kind in (("jump", "string"), ("depth", "int"), ("root", "string"))], *measures, F.lit(True).alias("added"))
+        now = tree.put(moved.unionByName(kept))
         active = now.where("jump IS NOT NULL")
         n, before = active.count(), n
-    own = nodes.select("src", "k", *measures)
-    every = own.unionByName(added.rows().select("src", "k", *measures)) if added.spark else own
-    return tree.finished().select("src", "k", "depth", "root"), every.groupBy("src", "k").agg(*[F.sum(m).alias(m) for m in measures])
+    every = nodes.select("src", "k", *measures).unionByName(tree.rows().where("added").select("src", "k", *measures))
+    return tree.finished().where("NOT added").select("src", "k", "depth", "root"), every.groupBy("src", "k").agg(*[F.sum(m).alias(m) for m in measures])
 
 
 def subtree_sums(nodes: DataFrame, measures: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from knowmill.operators.hierarchy import descendants_of, hierarchies, linked, nested_sets, node_rows, subtree_sums
+from knowmill.operators.hierarchy import descendants_of, hierarchies, linked, nested_sets, node_rows, subtree_sums, subtrees, truncations
 
 SCHEMA = "task_id string, parent_id string, rank int, size string, path string"
 
@@ -78,3 +78,26 @@ def test_sums(spark):
 
 def test_empty(spark):
     assert got(spark, []) == {}
+
+
+def test_all_descendants_of_all_nodes(spark):
+    rng = random.Random(3)
+    links = [(f"n{i}", f"n{rng.randrange(max(0, i - 6), i)}" if i else None, 0) for i in range(90)] + [("a", None, 0), ("b", "a", 0), ("r", "r", 0)]
+    sets = nested_sets(nodes(spark, links))
+    ways = {k: way[2].split(">") for k, way in brute(links).items() if way[2]}
+    expected = {(a, k) for k, way in ways.items() for a in way[:-1]}
+    rows = [(r["ancestor"], r["k"]) for r in descendants_of(sets, sets).collect()]
+    assert set(rows) == expected and len(rows) == len(expected)
+    assert descendants_of(sets.where("false"), sets).count() == 0
+
+
+def test_subtrees_stop_at_depth_and_number(spark):
+    """A chain of seven, and a root of 300 children made in reverse of their names' order."""
+    links = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(7)] + [("top", None)] + [(f"k{i:03}", "top") for i in range(300)]
+    at = F.timestamp_seconds(F.when(F.col("k").startswith("k"), 1_000_000 - 86_400 * F.substring("k", 2, 3).cast("int")))
+    sets = nested_sets(nodes(spark, [(k, p, 0) for k, p in links]).withColumn("at", at))
+    shown = subtrees(sets, 5, 200)
+    assert [(r["k"], r["level"], r["place"]) for r in shown.where("start = 'c1'").orderBy("place").collect()] == [(f"c{i}", i - 1, i) for i in range(1, 6)]
+    assert [r["k"] for r in shown.where("start = 'top'").orderBy("place").collect()] == ["top", *[f"k{i:03}" for i in range(299, 100, -1)]]
+    counts = {r["k"]: (r["shown"], r["hidden"], r["in_tree"]) for r in truncations(sets, shown).collect()}
+    assert (counts["top"], counts["c0"], counts["c6"], counts["k000"]) == ((200, 101, 301), (5, 2, 7), (1, 0, 7), (1, 0, 301))
