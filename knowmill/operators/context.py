@@ -8,18 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from knowmill.functions.text import token_estimate
 from knowmill.sources.tables import cut, instant, key_of
 
 def candidates(documents: DataFrame, code: DataFrame, bias: float = 0.5) -> DataFrame:
-    """(project_id, kind, id, tokens, score, ...): current documents and code chunks with their weights."""
+    """(project_id, kind, id, tokens, score, ...): current documents and code chunks, whose ``tokens`` are counted, with their weights."""
     base = F.when(F.col("priority").isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("priority") / 10)))
     docs = documents.where("status <> 'superseded' AND category <> 'code_file'").select(
-        "project_id", F.lit("document").alias("kind"), F.col("doc_id").alias("id"), token_estimate(F.col("content")).alias("tokens"),
+        "project_id", F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "tokens",
         (base * (1 + bias)).alias("score"), F.coalesce("priority", F.lit(999)).alias("priority"), instant(F.col("updated_at")).alias("updated"),
     )
     chunks = code.select(
-        "project_id", F.lit("code").alias("kind"), F.col("chunk_id").alias("id"), token_estimate(F.col("content")).alias("tokens"),
+        "project_id", F.lit("code").alias("kind"), F.col("chunk_id").alias("id"), "tokens",
         F.lit(0.5 * (2 - bias)).alias("score"), F.lit(999).alias("priority"), instant(F.col("created_at")).alias("updated"),
     )
     return docs.unionByName(chunks)
@@ -75,19 +74,19 @@ def budget_fill(rows: DataFrame, budget: int) -> DataFrame:
 
 def detailed(requested: DataFrame, documents: DataFrame, related: DataFrame, budget: int, code: DataFrame | None = None, key: tuple[str, ...] = ("project_id",)) -> DataFrame:
     """Requested documents whole, and code chunks of the requested ids that are no document, then the project's related
-    documents under what is left of the budget.
+    documents under what is left of the budget. Documents and chunks come with their ``tokens``, not with their contents.
 
-    requested: (key, project_id, k), one request a key, which holds project_id; code: (project_id, chunk_id, content);
+    requested: (key, project_id, k), one request a key, which holds project_id; code: (project_id, chunk_id, tokens);
     related: best relations (here, related_id, nearness).
     (key, part, id, tokens, used)
     """
     key = list(key)
     of = list(dict.fromkeys([*key, "project_id"]))
-    live = cut(documents.where("status <> 'superseded'").select("project_id", "k", F.col("doc_id").alias("id"), token_estimate(F.col("content")).alias("tokens")), "live")
+    live = cut(documents.where("status <> 'superseded'").select("project_id", "k", F.col("doc_id").alias("id"), "tokens"), "live")
     requested = cut(requested.select(*of, "k"), "requested")
     asked = requested.join(live, ["project_id", "k"])
     if code is not None:
-        chunks = code.select("project_id", key_of(F.col("chunk_id")).alias("k"), F.col("chunk_id").alias("id"), token_estimate(F.col("content")).alias("tokens"))
+        chunks = code.select("project_id", key_of(F.col("chunk_id")).alias("k"), F.col("chunk_id").alias("id"), "tokens")
         unmatched = requested.join(live.select("project_id", "k"), ["project_id", "k"], "left_anti")
         asked = asked.unionByName(unmatched.join(chunks, ["project_id", "k"]))
     spent = asked.groupBy(*key).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("spent"))

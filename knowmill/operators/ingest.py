@@ -6,7 +6,7 @@ Lengths are in code points. A null text is an empty one.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -114,11 +114,12 @@ def document_chunks(rows: DataFrame, key: list[str], category: str = "category",
     return reduce(DataFrame.unionByName, parts)
 
 
-def decorated(chunks: DataFrame, title: str = "title") -> DataFrame:
-    """Adds the header (first heading, else the title), the prefix line before the content, and token_count."""
+def decorated(chunks: DataFrame, title: str = "title", tokens: Callable[[Column], Column] = token_estimate) -> DataFrame:
+    """Adds the header (first heading, else the title), the prefix line before the content, and token_count, by an
+    estimate or whatever counts the tokens of a column of texts."""
     header = F.when(first_heading(F.col("content")) != "", first_heading(F.col("content"))).otherwise(F.col(title))
     full = F.concat(F.lit("Document: "), F.col(title), F.lit(" | Section: "), header, F.lit("\n\n"), F.col("content"))
-    return chunks.select("*", header.alias("header"), full.alias("full_text"), token_estimate(full).alias("token_count"))
+    return chunks.select("*", header.alias("header"), full.alias("full_text"), tokens(full).alias("token_count"))
 
 
 def line_parts(rows: DataFrame, key: list[str], text: str = "content", size: int = PART, overlap: int = PART_OVERLAP) -> DataFrame:

@@ -556,7 +556,14 @@ def agg_stage_histogram(spark, folder):
 
 _CAND = """cand AS (SELECT project_id, 'document' kind, doc_id id, CAST(ceil(length(content) / 4) AS INTEGER) tokens, (CASE WHEN priority IS NULL THEN 0.5::DOUBLE ELSE greatest(0, least(1, 1 - priority / 10)) END) * 1.5 score, coalesce(priority, 999) priority, CAST(updated_at AS TIMESTAMPTZ) updated FROM kb WHERE status <> 'superseded' AND category <> 'code_file'
 UNION ALL SELECT project_id, 'code', chunk_id, CAST(ceil(length(content) / 4) AS INTEGER), 0.5::DOUBLE * 1.5, 999, CAST(created_at AS TIMESTAMPTZ) FROM co),
-top AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, kind DESC, priority, updated DESC, id) place FROM cand QUALIFY place <= 200)"""
+top AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, kind DESC, priority, updated DESC, id) place FROM cand)"""
+
+
+def _counted(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Current documents and code chunks with their tokens, counted where they are read, so that no contents are shuffled."""
+    sized = lambda name, *kept: table(spark, folder, name).select(*kept, T.token_estimate(F.col("content")).alias("tokens"))
+    kb = sized("kb_documents", "doc_id", "version", "project_id", "title", "category", "status", "priority", "updated_at")
+    return R.current(kb, "doc_id", rank=F.col("version")), R.current(sized("code_chunks", "chunk_id", "project_id", "created_at"), "chunk_id")
 
 
 @query(f"""WITH RECURSIVE {KB}, {CO}, {_CAND}, fill AS (SELECT project_id, CAST(0 AS BIGINT) place, CAST(0 AS BIGINT) used, '' kind, '' id, 0 tokens, false taken FROM (SELECT DISTINCT project_id FROM top) UNION ALL
@@ -564,13 +571,14 @@ SELECT t.project_id, t.place, CASE WHEN used + t.tokens <= 4000 THEN used + t.to
 SELECT project_id, CAST(place AS INTEGER) place, kind, id, tokens, CAST(used AS INTEGER) used FROM fill WHERE taken""")
 def ctx_overview(spark, folder):
     """Each project's best documents and code under a budget of tokens; what doesn't fit is skipped."""
-    return context.budget_fill(context.candidates(_kb(spark, folder), _code(spark, folder)), 4000)
+    return context.budget_fill(context.candidates(*_counted(spark, folder)), 4000)
 
 
 @query()
 def ctx_detailed(spark, folder):
     """For every live document and every code chunk as a request: itself and its related documents under a budget."""
-    kb, code = _kb(spark, folder).withColumn("k", key_of(F.col("doc_id"))), _code(spark, folder)
+    kb, code = _counted(spark, folder)
+    kb = kb.withColumn("k", key_of(F.col("doc_id")))
     asked = kb.where("status <> 'superseded'").select("project_id", "k").unionByName(code.select("project_id", key_of(F.col("chunk_id")).alias("k"))).where("k IS NOT NULL").distinct()
     near = graph.best_relation(graph.neighbours(_edges(spark, folder), kb))
     return context.detailed(asked.withColumn("request", F.col("k")), kb, near, 4000, code, ("project_id", "request"))
@@ -675,6 +683,31 @@ def txt_commit_messages(spark, folder):
     return p.where("type <> ''").groupBy("type", "scope").agg(F.count("*").alias("commits"), F.countDistinct("doc_id").alias("documents"), F.max(F.char_length("line")).alias("longest"))
 
 
+#: The types of a conventional commit line.
+_TYPES = ["feat", "fix", "refactor", "test", "docs", "chore", "style", "perf", "ci", "build"]
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line FROM documents WHERE source = 'commit_log'), m AS (SELECT doc_id, regexp_extract(line, '^[0-9a-f]{{7}} (.*)$', 1) m FROM l WHERE regexp_matches(line, '^[0-9a-f]{{7}} ')),
+r AS (SELECT doc_id, CASE WHEN regexp_matches(m, '(?i)\[task:[^\]]+\]') THEN 'task' WHEN length(m) > 72 THEN 'length' WHEN NOT regexp_matches(m, '^[a-z]+\([a-z0-9][a-z0-9-]*\): .+$') THEN 'form'
+WHEN regexp_extract(m, '^([a-z]+)', 1) NOT IN ({", ".join(f"'{t}'" for t in _TYPES)}) THEN 'type' ELSE 'valid' END verdict FROM m) SELECT verdict, count(*) commits, count(DISTINCT doc_id) documents FROM r GROUP BY verdict""")
+def txt_commit_verdicts(spark, folder):
+    """Commit lines by the first rule they break: a task reference, over 72 characters, another form, an unknown type."""
+    lines = table(spark, folder, "documents").where("source = 'commit_log'").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    m = lines.where(F.col("line").rlike("^[0-9a-f]{7} ")).select("doc_id", F.regexp_extract("line", "^[0-9a-f]{7} (.*)$", 1).alias("m"))
+    verdict = (
+        F.when(F.col("m").rlike(r"(?i)\[task:[^\]]+\]"), "task").when(F.char_length("m") > 72, "length").when(~F.col("m").rlike(r"^[a-z]+\([a-z0-9][a-z0-9-]*\): .+$"), "form")
+        .when(~F.regexp_extract("m", "^([a-z]+)", 1).isin(_TYPES), "type").otherwise("valid")
+    )
+    return m.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("commits"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query("""WITH m AS (SELECT DISTINCT ON (project_id) project_id, TRY_CAST(settings AS JSON) s FROM project_meta ORDER BY project_id) SELECT project_id, len(json_keys(s)) slots, len(list_filter(json_keys(s), lambda k: json_extract_string(s, k) IS NOT NULL)) filled FROM m WHERE s IS NOT NULL""")
+def txt_setting_slots(spark, folder):
+    """How many slots the settings of each project have and how many are filled; what isn't an object has none."""
+    m = table(spark, folder, "project_meta").dropDuplicates(["project_id"]).select("project_id", F.from_json("settings", "map<string,string>").alias("s")).where("s IS NOT NULL")
+    return m.select("project_id", F.size("s").alias("slots"), F.size(F.filter(F.map_values("s"), lambda v: v.isNotNull())).alias("filled"))
+
+
 @query(f"""WITH RECURSIVE {TA}, ln AS (SELECT a.*, b.k parent FROM ta a LEFT JOIN ta b ON lower(trim(a.parent_id)) = b.k),
 tr AS (SELECT k, task_id top, 0 d FROM ln WHERE parent IS NULL UNION ALL SELECT c.k, t.top, t.d + 1 FROM tr t JOIN ln c ON c.parent = t.k)
 SELECT task_id, depth stored_depth, CAST(d AS INTEGER) true_depth, root_id stored_root, top true_root FROM tr JOIN ta USING (k) WHERE depth IS DISTINCT FROM d OR lower(trim(root_id)) IS DISTINCT FROM lower(top)""")

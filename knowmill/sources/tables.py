@@ -24,11 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only a local master (tests, a laptop) may leave it unset: a temporary
+    """A folder of this application in that of ``spark.checkpoint.dir``; its tables may go when the application has ended. Only a local master (tests, a laptop) may leave it unset: a temporary
     folder of this machine is made then, and removed at the end."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder.rstrip("/")
+        return f"{folder.rstrip('/')}/knowmill-{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:

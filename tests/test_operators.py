@@ -377,11 +377,15 @@ def test_days_of_the_stream_in_any_zone(spark, tmp_path, zone):
     assert some.get(("2024-01-02", "a")) == 2 and set(some) <= set(whole)
 
 
+def counted(rows):
+    return rows.withColumn("tokens", T.token_estimate(F.col("content"))).drop("content")
+
+
 def test_detailed_context(spark):
     docs = spark.createDataFrame([("p", k, k.upper(), "active", "x" * n) for k, n in [("a", 40), ("b", 40), ("c", 400), ("d", 20)]], "project_id string, k string, doc_id string, status string, content string")
     asked = spark.createDataFrame([("p", "a")], "project_id string, k string")
     near = spark.createDataFrame([("a", "B", 2), ("a", "C", 1), ("a", "D", 3), ("a", "A", 1)], "here string, related_id string, nearness int")
-    got = [(r["part"], r["id"], r["used"]) for r in context.detailed(asked, docs, near, 25).collect()]
+    got = [(r["part"], r["id"], r["used"]) for r in context.detailed(asked, counted(docs), near, 25).collect()]
     assert sorted(got, key=str) == sorted([("requested", "A", None), ("related", "B", 20), ("related", "D", 25)], key=str)
 
 
@@ -392,9 +396,9 @@ def test_detailed_context_of_a_hub(spark):
     code = spark.createDataFrame([("p", "C1", "y" * 8), ("q", "C2", "y"), ("p", "HUB", "no")], "project_id string, chunk_id string, content string")
     asked = spark.createDataFrame([("p", "r1", "hub"), ("p", "r1", "c1"), ("p", "r1", "c2"), ("p", "r2", "d000")], "project_id string, request string, k string")
     near = spark.createDataFrame([*[("hub", f"D{i:03}", 1) for i in range(n)], *[(f"d{i:03}", "HUB", 1) for i in range(n)], ("hub", "FAR", 1)], "here string, related_id string, nearness int")
-    got = {(r["request"], r["part"], r["id"], r["used"]) for r in context.detailed(asked, docs, near, 30, code, ("project_id", "request")).collect()}
+    got = {(r["request"], r["part"], r["id"], r["used"]) for r in context.detailed(asked, counted(docs), near, 30, counted(code), ("project_id", "request")).collect()}
     assert got == {("r1", "requested", "HUB", None), ("r1", "requested", "C1", None), ("r1", "related", "D250", 17), ("r1", "related", "D251", 22), ("r1", "related", "D252", 27), ("r2", "requested", "D000", None)}
-    wide = context.detailed(asked.where("k = 'hub'").select("project_id", "k"), docs, near, 30)
+    wide = context.detailed(asked.where("k = 'hub'").select("project_id", "k"), counted(docs), near, 30)
     assert [r["id"] for r in wide.where("part = 'related'").orderBy("used").collect()] == ["D250", "D251", "D252", "D253"]
 
 
