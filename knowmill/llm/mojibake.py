@@ -112,13 +112,11 @@ def twin_pairs(docs: DataFrame) -> DataFrame:
     """(garbled, clean, n): aligned runs of words that are the same without their non-ASCII characters."""
     words = docs.where(F.col("text").rlike(_NON_ASCII)).select(F.split("text", r"[ \t\r\n]+").alias("w"))
     strip = lambda c: F.regexp_replace(F.regexp_replace(c, _NON_ASCII + "+", "\x01"), "[0-9]+", "0")
-    near = F.filter(
-        F.transform("w", lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get("w", i - 1)).alias("a"), F.get("w", i + 1).alias("b"))),
-        lambda s: s["x"].rlike(_NON_ASCII) & ~s["x"].contains("�") & ~s["x"].contains("`"),
-    )
+    garbled = lambda x: x.rlike(_NON_ASCII) & ~x.contains("�") & ~x.contains("`")
+    near = F.array_compact(F.transform("w", lambda x, i: F.when(garbled(x), F.struct(x.alias("x"), F.when(i > 0, F.get("w", i - 1)).alias("a"), F.get("w", i + 1).alias("b")))))
     rows = words.select(F.explode(near).alias("s")).select(strip(F.col("s.x")).alias("x"), strip(F.coalesce("s.a", F.lit(""))).alias("a"), strip(F.coalesce("s.b", F.lit(""))).alias("b"), F.regexp_extract_all("s.x", F.lit(f"({_NON_ASCII}+)")).alias("runs"))
     # without ASCII letters a key says nothing: all words of a text in another script would share it
-    spoken = lambda c: F.when(F.length(F.regexp_replace(c, "[^A-Za-z]", "")) >= LETTERS, c)
+    spoken = lambda c: F.when(c.rlike(f"(?:[A-Za-z][^A-Za-z]*){{{LETTERS}}}"), c)
     keyed = rows.select(F.explode(F.array(spoken(F.col("x")), spoken(F.concat_ws(" ", "a", "x", "b")))).alias("key"), "runs").where("key IS NOT NULL")
     variants = keyed.groupBy("key", "runs").agg(F.count("*").alias("n"))
     length = F.char_length(F.array_join("runs", ""))
