@@ -36,6 +36,8 @@ SPAN = len(MASKS[0])
 TOLERANCE = 0.8
 #: Test hashes that may be broadcast (8 bytes each).
 HELD = 4_000_000
+#: Parts to which the documents of a seed are dealt where hashes are shuffled.
+SALTS = 16
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -184,8 +186,14 @@ def leaked_passages(docs: DataFrame, tests: DataFrame) -> DataFrame:
     few = len(sample) <= HELD
     held = spark.sparkContext.broadcast(np.sort(sample.view(np.uint64))) if few else None
     corpus = docs.select("doc_id", "text")
+    seeds = _seeds(corpus, "doc_id", held)
+    if few:
+        met = seeds.join(known, "h")
+    else:  # a seed that stands in many documents is dealt to SALTS parts
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = seeds.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
     # as a table its size is known, so the corpus is shuffled only if the hits are too many to broadcast
-    hits = cut(_seeds(corpus, "doc_id", held).join(known, "h").select("doc_id", "item_id").distinct(), "leak-hits")
+    hits = cut(met.select("doc_id", "item_id").distinct(), "leak-hits")
     # copies of a row with one id would otherwise be verified twice
     texts = corpus.join(hits, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "text", "item_text")
 
