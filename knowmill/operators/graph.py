@@ -105,32 +105,33 @@ def cyclic_nodes(e: DataFrame) -> DataFrame:
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
-    """The edges that are left when nodes without an edge in or without one out are taken off, again and again."""
-    left = cut(edges, "cycle-edges")
-    n = left.count()
-    while n:
-        less = left
-        for _ in range(STEPS):
-            less = less.join(less.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(less.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-        left = cut(less, "cycle-edges")
-        before, n = n, left.count()
-        if n == before:
-            break
-    return left
+    """The edges that are left when nodes without an edge in or without one out are taken off, again and again.
+
+    A round keeps the edges that its last step takes off, marked, so that a step without any ends it.
+    """
+    ends = lambda e: e.select(F.col("b").alias("a")).distinct()
+    starts = lambda e: e.select(F.col("a").alias("b")).distinct()
+    left = edges.select("a", "b")
+    while True:
+        for _ in range(STEPS - 1):
+            left = left.join(ends(left), "a", "left_semi").join(starts(left), "b", "left_semi").select("a", "b")
+        last = left.join(ends(left).withColumn("i", F.lit(True)), "a", "left").join(starts(left).withColumn("o", F.lit(True)), "b", "left")
+        marked = cut(last.select("a", "b", (F.col("i").isNotNull() & F.col("o").isNotNull()).alias("stays")), "cycle-edges")
+        left = marked.where("stays").select("a", "b")
+        if not marked.where("NOT stays").limit(1).count():
+            return left
 
 
 def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
-    """(node, c): the greatest c among each node and all that reach it along the edges (a, b)."""
-    now = cut(colour.select("node", "c"), "cycle-colours")
+    """(node, c): the greatest c among each node and all that reach it along the edges (a, b); a last hop that changes none ends it."""
+    now = colour.select("node", "c")
     while True:
-        less = now
         for _ in range(STEPS):
-            sent = edges.join(less.select(F.col("node").alias("a"), "c"), "a").groupBy(F.col("b").alias("node")).agg(F.max("c").alias("s"))
-            less = less.join(sent, "node", "left").select("node", F.greatest("c", "s").alias("c"))
-        then = cut(less.select("node", "c"), "cycle-colours")
-        if not then.join(now.withColumnRenamed("c", "was"), "node").where(~F.col("c").eqNullSafe(F.col("was"))).limit(1).count():
-            return then
-        now = then
+            sent = edges.join(now.select(F.col("node").alias("a"), "c"), "a").groupBy(F.col("b").alias("node")).agg(F.max("c").alias("s"))
+            now = now.join(sent, "node", "left").select("node", F.greatest("c", "s").alias("c"), F.col("c").alias("was"))
+        now = cut(now, "cycle-colours")
+        if not now.where(~F.col("c").eqNullSafe(F.col("was"))).limit(1).count():
+            return now.select("node", "c")
 
 
 def new_edges(e: DataFrame, proposed: DataFrame, both_ways: bool = False) -> DataFrame:

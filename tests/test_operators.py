@@ -65,7 +65,7 @@ def test_precedents_against_brute_force(spark, sf):
     # two cycles and a bridge between them, a shared node, a long chain into a cycle and out of it
     ([("a", "b"), ("b", "a"), ("b", "m"), ("m", "n"), ("n", "x"), ("x", "y"), ("y", "x")], {"a", "b", "x", "y"}),
     ([("a", "b"), ("b", "a"), ("a", "c"), ("c", "a"), ("z", "a"), ("c", "q"), ("q", "q")], {"a", "b", "c", "q"}),
-    ([(f"k{i:02}", f"k{i + 1:02}") for i in range(30)] + [("k20", "k17")], {"k17", "k18", "k19", "k20"}),
+    ([(f"k{i:02}", f"k{i + 1:02}") for i in range(12)] + [("k09", "k07")], {"k07", "k08", "k09"}),
     ([("z", "a"), ("a", "b"), ("b", "a")], {"a", "b"}),
 ])
 def test_cycles(spark, links, nodes):
