@@ -32,8 +32,10 @@ def vector_of(rows: DataFrame, column: str, key: str, value: str) -> list[float]
     return [float(x) for x in row[0]] if row and row[0] is not None else None
 
 
-def with_documents(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Only the chunks of the given documents (a true semi-join, without a cap on the ids)."""
+def with_documents(chunks: DataFrame, documents: DataFrame, add: tuple[str, ...] = ()) -> DataFrame:
+    """Only the chunks of the given documents (a true semi-join, without a cap on the ids), with columns of these, a row each, where asked for."""
+    if add:
+        return chunks.join(documents.select("doc_id", *add), "doc_id")
     return chunks.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
@@ -51,17 +53,17 @@ def best(scored: DataFrame, key: str, order: list[Column], limit: int) -> DataFr
         surplus *= 4
 
 
-def nearest(rows: DataFrame, query: list[float], key: str, limit: int, metric: str = "cosine", vector: str = "vector", keep: tuple[str, ...] = (), documents: DataFrame | None = None) -> DataFrame:
-    """(key, *keep, distance) of the ``limit`` nearest rows, of the given documents only."""
+def nearest(rows: DataFrame, query: list[float], key: str, limit: int, metric: str = "cosine", vector: str = "vector", keep: tuple[str, ...] = (), documents: DataFrame | None = None, add: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, distance, *add) of the ``limit`` nearest rows, of the given documents only and with ``add`` of theirs."""
     asked = F.array(*[F.lit(x) for x in query])
     distance = cosine_distance(F.col(vector), asked) if metric == "cosine" else l2_squared(F.col(vector), asked)
     scored = rows.select(key, *keep, distance.alias("distance")).where("distance IS NOT NULL")
-    return best(scored if documents is None else with_documents(scored, documents), key, [F.asc("distance")], limit)
+    return best(scored if documents is None else with_documents(scored, documents, add), key, [F.asc("distance")], limit)
 
 
-def vector_search(rows: DataFrame, query: list[float], key: str, limit: int = 5, min_score: float = 0.0, metric: str = "cosine", keep: tuple[str, ...] = (), documents: DataFrame | None = None) -> DataFrame:
+def vector_search(rows: DataFrame, query: list[float], key: str, limit: int = 5, min_score: float = 0.0, metric: str = "cosine", keep: tuple[str, ...] = (), documents: DataFrame | None = None, add: tuple[str, ...] = ()) -> DataFrame:
     """The nearest rows with a score of 0 to 1, from ``min_score`` on."""
-    found = nearest(rows, query, key, limit, metric, keep=keep, documents=documents)
+    found = nearest(rows, query, key, limit, metric, keep=keep, documents=documents, add=add)
     return found.withColumn("score", distance_score(F.col("distance"))).where(F.col("score") >= min_score)
 
 

@@ -121,12 +121,10 @@ near AS (SELECT ch.*, {_DIST.format(v="ch.vector", q="q.v")} d FROM ch, q WHERE
 SELECT chunk_id, near.doc_id, kb.title, kb.category, round(greatest(0, least(1, 1 - d / 2)), 6) score FROM near LEFT JOIN kb USING (doc_id) WHERE 1 - d / 2 >= 0.5""")
 def vec_search_documents(spark, folder):
     """Cosine search over active chunks of filtered documents, scored and enriched from the latest version."""
-    chunks, kb = table(spark, folder, "doc_chunks"), table(spark, folder, "kb_documents")
+    chunks = table(spark, folder, "doc_chunks")
     among = _kb(spark, folder).where("status <> 'superseded' AND category <> 'change_record'")
-    found = R.vector_search(chunks.where("status = 'active'"), _first_vector(chunks, "chunk_id"), "chunk_id", 10, 0.5, keep=("doc_id",), documents=among)
-    # ten rows: only their documents' versions are ranked
-    of = R.current(kb.join(F.broadcast(found.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id", rank=F.col("version")).select("doc_id", "title", "category")
-    return found.join(of, "doc_id", "left").select("chunk_id", "doc_id", "title", "category", F.round("score", 6).alias("score"))
+    found = R.vector_search(chunks.where("status = 'active'"), _first_vector(chunks, "chunk_id"), "chunk_id", 10, 0.5, keep=("doc_id",), documents=among, add=("title", "category"))
+    return found.select("chunk_id", "doc_id", "title", "category", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {CO} SELECT chunk_id, file_path, round(greatest(0, least(1, 1 - d / 2)), 6) score FROM (
