@@ -5,8 +5,8 @@
 2. Equal vectors are one class (pre-aggregated group by a hash of 128 bits); only one of each
    goes on, and at most k + 1 members of a class, the first by id, take part as neighbours.
 3. Routes: every vector is a member of its nearest cell's shard, and a query to the shards of those of its
-   ``PROBES`` nearest cells whose centre is less similar by ``MARGIN`` at most than the nearest one's
-   (or to all shards). Member and query of one shard travel as one row.
+   ``PROBES`` nearest cells whose centre is at most ``RATIO`` times as far as the nearest one, or less similar
+   by ``MARGIN`` at most (or to all shards). Member and query of one shard travel as one row.
 4. Hot shards are split: members beyond ``PIECE`` times ``SHARD`` into pieces by hash, each a graph that
    all the shard's queries search; queries beyond ``CHUNK`` into chunks that each meet the members.
    So no group holds many more members or queries than that, and nothing is left out.
@@ -39,7 +39,7 @@ DIM = 64
 SHARD, CHUNK = 2_000, 60_000
 #: A piece holds at most so many times the members of a shard.
 PIECE = 3
-CELLS_A_SHARD, PROBES, MARGIN = 16, 16, 0.12
+CELLS_A_SHARD, PROBES, RATIO, MARGIN = 16, 16, 1.2, 0.08
 TASKS = 10_000
 CELLS, SAMPLE = 16_384, 131_072
 DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 30, 20, 1.2
@@ -146,7 +146,8 @@ def nearest_vectors(
             near, cos = _nearest(x, c, 1 if everywhere else probes)
             near = shard_of[near]
             home = near[:, 0].copy()
-            near[cos < cos[:, :1] - MARGIN] = -1
+            far = np.sqrt(np.maximum(2 - 2 * cos, 0))
+            near[(far > RATIO * far[:, :1]) & (cos < cos[:, :1] - MARGIN)] = -1
             near.sort(axis=1)
             fresh = near >= 0
             fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
