@@ -664,7 +664,7 @@ def txt_file_links(spark, folder):
 def gr_import_edges(spark, folder):
     """Edges between files from the imports of all code chunks."""
     code = table(spark, folder, "code_chunks")
-    values = split_packed(packed_fields(table(spark, folder, "kb_documents").where("false"), code)).where("fld = 'imports'").select(F.col("record_id").alias("chunk_id"), F.col("val").alias("import"))
+    values = split_packed(packed_fields(table(spark, folder, "kb_documents").where("false"), code).where("fld = 'imports'")).select(F.col("record_id").alias("chunk_id"), F.col("val").alias("import"))
     of = _code(spark, folder).select("chunk_id", "project_id", "file_path", C.language_of(F.col("file_path")).alias("language"))
     imports = values.join(of, "chunk_id").select("project_id", "file_path", "language", "import")
     files = table(spark, folder, "kb_documents").where("category = 'code_file'").select("project_id", F.col("doc_id").alias("path")).unionByName(of.select("project_id", F.col("file_path").alias("path")))
